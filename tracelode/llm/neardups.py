@@ -25,7 +25,7 @@ from tracelode.llm import hashing
 #: Words of a shingle and least similarity of near duplicates, where nothing else is asked for.
 SHINGLE, SIMILAR = 5, 0.8
 #: Counters of the sketch by which shingles are ordered (a bounded broadcast), words of a signature, classes of a block.
-SKETCH, SIGNATURE, TILE = 1 << 20, 8, 1024
+SKETCH, SKETCH_BLOCK, SIGNATURE, TILE = 1 << 20, 1 << 14, 8, 1024
 
 
 def _word_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,16 +61,23 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for s in b["items"]:
             total[np.asarray(s, np.int64) & (SKETCH - 1)] += 1
-    at = np.flatnonzero(total)
-    yield pd.DataFrame({"slot": at, "cnt": total[at]})
+    total = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(-1, SKETCH_BLOCK)
+    used = np.flatnonzero(total.any(axis=1))
+    yield pd.DataFrame({"block": used, "counts": [total[k].tobytes() for k in used]})
+
+
+def _add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in group["counts"])
+    return pd.DataFrame({"block": [key[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
 
 def _rarity(sets: DataFrame) -> np.ndarray:
-    """Approximate number of classes per shingle, by slot; SKETCH counters at any size of the data."""
-    counted = sets.select("items").mapInPandas(_count, "slot int, cnt bigint").groupBy("slot").agg(F.sum("cnt").alias("cnt")).toPandas()
-    out = np.zeros(SKETCH, np.int32)
-    out[counted["slot"].to_numpy()] = np.minimum(counted["cnt"].to_numpy(), 2**31 - 1)
-    return out
+    """Approximate number of classes per shingle, by slot; SKETCH counters (4 MB) at any size of the data."""
+    counted = sets.select("items").mapInPandas(_count, "block int, counts binary").groupBy("block").applyInPandas(_add, "block int, counts binary")
+    out = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK), np.int32)
+    for block, counts in counted.collect():
+        out[block] = np.frombuffer(counts, np.int32)
+    return out.ravel()
 
 
 def _prefixes(rarity, least: float):
