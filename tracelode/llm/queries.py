@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import copies, neardups, spans
+from tracelode.llm import copies, cutoffs, neardups, spans
 from tracelode.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardups.near_groups(table(spark, sf_dir, "translations"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoffs.cut_answers(table(spark, sf_dir, "raw_messages"), table(spark, sf_dir, "chat_requests"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoffs.cut_rates(table(spark, sf_dir, "raw_messages"), table(spark, sf_dir, "chat_requests"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.copies(table(spark, sf_dir, "session_docs"))
 
@@ -37,7 +45,7 @@ def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_groups, p6_found, p6_collapsed)}
+    return {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_groups, p5_found, p5_rates, p6_found, p6_collapsed)}
 
 
 def oracle_sql() -> dict[str, str]:
