@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import copies, cutoffs, neardups, spans
+from tracelode.llm import copies, cutoffs, defects, neardups, spans
 from tracelode.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.found(*(table(spark, sf_dir, t) for t in ("prompt_messages", "raw_messages", "chat_requests")))
+
+
+def p1_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.defects(*(table(spark, sf_dir, t) for t in ("prompt_messages", "raw_messages", "chat_requests")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "translations"))
 
@@ -45,7 +53,7 @@ def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_groups, p5_found, p5_rates, p6_found, p6_collapsed)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_rates, p6_found, p6_collapsed)}
 
 
 def oracle_sql() -> dict[str, str]:
