@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import copies, cutoffs, defects, neardups, spans
+from tracelode.llm import abuse, copies, cutoffs, defects, mixing, neardups, packing, spans
 from tracelode.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,8 +52,36 @@ def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapsed(table(spark, sf_dir, "session_docs"))
 
 
+def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.document_packs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p7_packs(spark, sf_dir))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.share_report(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_rates, p6_found, p6_collapsed)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_rates, p6_found, p6_collapsed, p7_packs, p7_fill, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
