@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tracelode.operators import book, nested
+from tracelode.operators import nested
+from tracelode.plans import book_queries, data_queries, program_queries, registry, store_queries, tensor_queries, text_queries  # noqa: F401
 from tracelode.runtime import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.found(table(spark, sf_dir, "session_docs"), table(spark, sf_dir, "evaluators"))
 
 
-def q_transition_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return book.transition_pairs(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"])
+def p2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of the filters of session documents, linked to the document each came from."""
+    nodes = nested.json_nodes(table(spark, sf_dir, "session_docs"), "session_row", "data", "session_docs")
+    return nested.related_table(nodes, "$.filters[]").selectExpr("record_id", "node_path", "parent_path", "to_json(fields) as fields")
 
 
-def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, q_transition_pairs)}
+def queries() -> dict[str, registry.Query]:
+    return {f.__name__: f for f in (p2_found, p2_tables)} | registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
