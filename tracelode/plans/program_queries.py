@@ -1 +1,39 @@
-"""Queries."""
+"""Queries on programs and generated traces. What needs a syntax tree or a generator has no SQL; the tests hold those
+against hand-made fixtures and invariants."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracelode.operators import dataflow as D
+from tracelode.operators import generate as N
+from tracelode.plans.registry import query
+
+
+@query("code_messages")
+def q_ast_transitions(code_messages):
+    """Transition pairs of all programs, by producer and consumer and by receiver."""
+    one = code_messages.select("request_id", "code").distinct()
+    t = D.transitions(D.facts(one, "request_id", "code"), "request_id")
+    return t.groupBy("src", "dst").agg(F.sum("occ").alias("occ"), F.countDistinct("request_id").alias("programs"))
+
+
+@query("code_messages")
+def q_ast_calls(code_messages):
+    one = code_messages.select("request_id", "code").distinct()
+    return D.calls_per_function(D.facts(one, "request_id", "code"), "request_id").groupBy("func").agg(F.sum("calls").alias("calls"), F.sum("gated").alias("gated"))
+
+
+@query("evaluators")
+def q_generate_traces(evaluators):
+    """As many generated traces as there are session cases, with the invariants of each."""
+    n = evaluators.where("task = 'session'").count()
+    steps, _ = N.traces(evaluators.sparkSession, n, 5)
+    per = steps.groupBy("trace_id").agg(F.count("*").alias("calls"), F.countDistinct(F.struct("op", "target")).alias("distinct_calls"), F.min("call_no").alias("first_call"))
+    return per.select("trace_id", "calls", (F.col("calls") == F.col("distinct_calls")).alias("no_repeats"), (F.col("first_call") == 0).alias("starts_at_0"))
+
+
+@query("evaluators")
+def q_random_documents(evaluators):
+    docs = N.documents(evaluators.sparkSession, evaluators.count() * 10)
+    return docs.groupBy("source", "type").agg(F.count("*").alias("docs"), F.bool_and(F.get_json_object("data", "$.title").isNotNull()).alias("titled"))

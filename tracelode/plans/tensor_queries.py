@@ -15,8 +15,8 @@ def cells(embeddings):
     return T.cells(embeddings, "vec_id", "embedding", [8, 8])
 
 
-def flat(t, name="tensor_id"):
-    return t.select(F.col(name).alias("vec_id"), F.col("idx")[0].alias("i"), F.col("idx")[1].alias("j"), (F.round("val", 4) + 0.0).alias("val"))
+def flat(t, digits=4):
+    return t.select(F.col("tensor_id").alias("vec_id"), F.col("idx")[0].alias("i"), F.col("idx")[1].alias("j"), (F.round("val", digits) + 0.0).alias("val"))
 
 
 @query("embeddings", sql=f"SELECT vec_id, (p % 8)::INT AS i, (p // 8)::INT AS j, round(val, 4) + 0.0 AS val FROM ({CELLS})")
@@ -37,10 +37,10 @@ def q_tensor_split(embeddings):
 
 
 @query("embeddings", sql=f"""
-SELECT vec_id, CASE WHEN p // 8 < 1 THEN 0 WHEN p // 8 < 4 THEN 1 ELSE 2 END AS chunk, count(*) AS n, round(sum(val), 3) AS total FROM ({CELLS}) GROUP BY 1, 2""")
+SELECT vec_id, CASE WHEN p // 8 < 1 THEN 0 WHEN p // 8 < 4 THEN 1 ELSE 2 END AS chunk, count(*) AS n, round(sum(val), 5) AS total FROM ({CELLS}) GROUP BY 1, 2""")
 def q_tensor_split_sections(embeddings):
     t = T.split(cells(embeddings), [1, 3, 4], 0)
-    return t.groupBy(F.col("tensor_id").alias("vec_id"), "chunk").agg(F.count("*").alias("n"), F.round(F.sum("val"), 3).alias("total"))
+    return t.groupBy(F.col("tensor_id").alias("vec_id"), "chunk").agg(F.count("*").alias("n"), F.round(F.sum("val"), 5).alias("total"))
 
 
 @query("embeddings", sql=f"""
@@ -54,18 +54,18 @@ def q_tensor_cat(embeddings):
 WEIGHT = [[(o * 3 + k * 5) % 7 - 3 for k in range(8)] for o in range(4)]
 
 
-@query("embeddings", sql=f"SELECT vec_id, (p // 8)::INT AS i, o::INT AS j, round(sum(val * ((o * 3 + (p % 8) * 5) % 7 - 3)), 3) + 0.0 AS val FROM ({CELLS}), range(4) w(o) GROUP BY 1, 2, 3")
+@query("embeddings", sql=f"SELECT vec_id, (p // 8)::INT AS i, o::INT AS j, round(sum(val * ((o * 3 + (p % 8) * 5) % 7 - 3)), 5) + 0.0 AS val FROM ({CELLS}), range(4) w(o) GROUP BY 1, 2, 3")
 def q_tensor_linear(embeddings):
     rows = [(o, k, float(w)) for o, r in enumerate(WEIGHT) for k, w in enumerate(r)]
     w = embeddings.sparkSession.createDataFrame(rows, "o int, k int, w double")
-    return flat(T.linear(cells(embeddings), w, 2)).withColumn("val", F.round("val", 3) + 0.0)
+    return flat(T.linear(cells(embeddings), w, 2), 5)
 
 
-@query("embeddings", sql=f"SELECT vec_id, round(sum(val * ((o * 3 + (p % 8) * 5) % 7 - 3)), 3) AS total FROM ({CELLS}), range(4) w(o) GROUP BY 1")
+@query("embeddings", sql=f"SELECT vec_id, round(sum(val * ((o * 3 + (p % 8) * 5) % 7 - 3)), 5) AS total FROM ({CELLS}), range(4) w(o) GROUP BY 1")
 def q_tensor_linear_dense(embeddings):
     """The same product on whole arrays: no row is exploded and nothing is shuffled."""
     y = T.dense_linear(F.slice("embedding", 1, 64), WEIGHT, 8)
-    return embeddings.select("vec_id", F.round(T.dense_sum(y), 3).alias("total"))
+    return embeddings.select("vec_id", F.round(T.dense_sum(y), 5).alias("total"))
 
 
 def _conv_sql(stride: int, padding: int, dilation: int) -> str:
@@ -73,7 +73,7 @@ def _conv_sql(stride: int, padding: int, dilation: int) -> str:
     return f"""
 WITH x AS (SELECT vec_id, (p // 8)::INT AS h, (p % 8)::INT AS w, val FROM ({CELLS})), k AS (SELECT a.i AS kh, b.j AS kw, (a.i * 2 + b.j * 3) % 5 - 2 AS c FROM range(3) a(i), range(3) b(j)),
 o AS (SELECT a.i AS oh, b.j AS ow FROM range({size}) a(i), range({size}) b(j))
-SELECT vec_id, oh::INT AS oh, ow::INT AS ow, round(sum(val * c), 3) + 0.0 AS val FROM x, k, o WHERE x.h = oh * {stride} - {padding} + kh * {dilation} AND x.w = ow * {stride} - {padding} + kw * {dilation} GROUP BY 1, 2, 3"""
+SELECT vec_id, oh::INT AS oh, ow::INT AS ow, round(sum(val * c), 5) + 0.0 AS val FROM x, k, o WHERE x.h = oh * {stride} - {padding} + kh * {dilation} AND x.w = ow * {stride} - {padding} + kw * {dilation} GROUP BY 1, 2, 3"""
 
 
 def _conv(embeddings, **how):
@@ -81,7 +81,7 @@ def _conv(embeddings, **how):
     rows = [(0, 0, i, j, float((i * 2 + j * 3) % 5 - 2)) for i in range(3) for j in range(3)]
     w = embeddings.sparkSession.createDataFrame(rows, "o int, c int, kh int, kw int, w double")
     out = T.conv2d(t, w, 8, 8, (3, 3), **how)
-    return out.select(F.col("tensor_id").alias("vec_id"), F.col("idx")[2].alias("oh"), F.col("idx")[3].alias("ow"), (F.round("val", 3) + 0.0).alias("val"))
+    return out.select(F.col("tensor_id").alias("vec_id"), F.col("idx")[2].alias("oh"), F.col("idx")[3].alias("ow"), (F.round("val", 5) + 0.0).alias("val"))
 
 
 @query("embeddings", sql=_conv_sql(1, 0, 1))
@@ -95,10 +95,10 @@ def q_tensor_conv2d_strided(embeddings):
 
 
 @query("embeddings", sql=f"""
-SELECT vec_id, round(sum(val), 4) AS total, round(avg(val), 5) AS mean, count(*) FILTER (WHERE val > m) AS above_mean FROM (SELECT *, avg(val) OVER (PARTITION BY vec_id) AS m FROM ({CELLS})) GROUP BY 1""")
+SELECT vec_id, round(sum(val), 4) AS total, round(avg(val), 8) AS mean, count(*) FILTER (WHERE val > m) AS above_mean FROM (SELECT *, avg(val) OVER (PARTITION BY vec_id) AS m FROM ({CELLS})) GROUP BY 1""")
 def q_tensor_reduce(embeddings):
     r = T.reductions(cells(embeddings))
-    return r.select(F.col("tensor_id").alias("vec_id"), F.round("total", 4).alias("total"), F.round("mean", 5).alias("mean"), "above_mean")
+    return r.select(F.col("tensor_id").alias("vec_id"), F.round("total", 4).alias("total"), F.round("mean", 8).alias("mean"), "above_mean")
 
 
 @query("embeddings", sql="SELECT vec_id, 8 AS rows, len(embedding) // 8 AS cols, len(embedding) AS numel FROM embeddings")
@@ -123,9 +123,9 @@ def q_tensor_allclose(embeddings):
     return T.allclose(t, moved).withColumnRenamed("tensor_id", "vec_id")
 
 
-@query("embeddings", sql="SELECT label, round(sum(list_sum(embedding::DOUBLE[])), 2) AS total, count(*) AS tensors FROM embeddings GROUP BY 1")
+@query("embeddings", sql="SELECT label, round(sum(list_sum(embedding::DOUBLE[])), 5) AS total, count(*) AS tensors FROM embeddings GROUP BY 1")
 def q_result_sum(embeddings):
-    return embeddings.groupBy("label").agg(F.round(F.sum(T.dense_sum(F.col("embedding"))), 2).alias("total"), F.count("*").alias("tensors"))
+    return embeddings.groupBy("label").agg(F.round(F.sum(T.dense_sum(F.col("embedding"))), 5).alias("total"), F.count("*").alias("tensors"))
 
 
 VOICES = "(VALUES " + ", ".join(str(v) for v in S.VOICES) + ") v(voice_name, id, category, gender)"
