@@ -1 +1 @@
-
+"""Structured Streaming counterparts of batch operators."""
