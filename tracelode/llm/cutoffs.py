@@ -219,7 +219,7 @@ def endings(rows: DataFrame) -> DataFrame:
     got = {f"{x}_{level}": F.max(F.when(F.col("level") == level, F.col(x))) for level in ("three", "two", "one", "context") for x in ("n", "e")}
     one = met.groupBy("message_id").agg(F.max("named").alias("named"), *[F.coalesce(c, F.lit(0)).alias(k) for k, c in got.items()])
     # each level is drawn towards the next shorter one, by the weight of SHRUNK occurrences
-    p_one = (F.col("e_one") + 0.02) / (F.col("n_one") + 0.5)
+    p_one = (F.col("e_one") + 0.15) / (F.col("n_one") + 0.5)
     p_two = (F.col("e_two") + SHRUNK * p_one) / (F.col("n_two") + SHRUNK)
     p_three = (F.col("e_three") + SHRUNK * p_two) / (F.col("n_three") + SHRUNK)
     fragment = F.col("named") & (F.col("n_three") == 0) & (F.col("n_context") >= BELIEVED)
