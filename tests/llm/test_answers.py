@@ -93,7 +93,7 @@ def test_defect_types(text, cut, want):
 
 
 def test_last_delivery_counts(spark):
-    raw = [(1, 1, "s", chat(""), "2025-01-02"), (2, 1, "s", chat("x = f(1)\nRESULT = x"), "2025-01-03"), (3, 2, "s", chat("I must refuse."), "2025-01-05"), (4, 2, "s", chat("I must refuse."), "2025-01-05"), (5, 3, "s", chat("fine."), None), (6, 3, "s", '{"error": 1}', "2025-01-01"), (7, None, "s", chat(""), None), (8, 4, None, chat("I must refuse."), "2025-01-01")]
+    raw = [(1, 1, "s", chat(""), "2025-01-02"), (2, 1, "s", chat("```\nx = f(1)\n```"), "2025-01-03"), (3, 2, "s", chat("I must refuse."), "2025-01-05"), (4, 2, "s", chat("I must refuse."), "2025-01-05"), (5, 3, "s", chat("fine."), None), (6, 3, "s", '{"error": 1}', "2025-01-01"), (7, None, "s", chat(""), None), (8, 4, None, chat("I must refuse."), "2025-01-01")]
     df = spark.createDataFrame([(*r, "v", "w") for r in raw], RAW).selectExpr("*", "cast(received_at as timestamp) as at").drop("received_at").withColumnRenamed("at", "received_at")
     got = sorted(tuple(r) for r in D.found(spark.createDataFrame([(1, P, "x"), (2, P, "x"), (2, P, "x"), (3, None, "x")], PROMPT), df, spark.createDataFrame([(1, 100, 1)], CHAT)).collect())
     assert got == [(2, "refusal"), (3, "empty"), (4, "refusal")]
