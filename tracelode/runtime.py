@@ -37,11 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder named by spark.checkpoint.dir, so that later steps neither repeat its work
-    nor depend on executors that hold it. Where the setting is absent (tests) a temporary folder takes its place."""
+    nor depend on executors that hold it. Where the setting is absent in local mode (tests) a temporary folder takes its
+    place; on a cluster its absence is an error, as a machine's own folder can't be shared."""
     spark = df.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracelode-checkpoint-"))
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracelode-checkpoint-"))
     return df.checkpoint()
 
 

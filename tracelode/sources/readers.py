@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,9 +103,6 @@ def resume(spark: SparkSession, path: str) -> DataFrame:
 def tensors(df: DataFrame, column: str) -> DataFrame:
     """Adds shape, dtype and values (array<double>) of tensors in their wire form, little-endian float or int of 4 or 8
     bytes; nested lists are read as well."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def decode(data: pd.Series, dtype: pd.Series) -> pd.Series:
         return pd.Series([None if d is None else np.frombuffer(bytes(d), np.dtype(t)).astype(float).tolist() for d, t in zip(data, dtype)])
