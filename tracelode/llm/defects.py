@@ -39,7 +39,14 @@ REFUSALS = {
         r"\bnão (?:posso|vou|consigo|me é possível)\b", r"\bdevo recusar\b", r"\bnon posso\b", r"\bdevo rifiutare\b", r"\bik kan (?:\w+ ){0,4}niet (?:helpen|schrijven)\b", r"не могу (?:помочь|выполнить|написать|ответить)", r"отказываюсь", r"вынужден\w* отказать", r"(?:无法|不能|拒绝)(?:帮助|协助|提供|完成|编写|回答|满足|处理|执行这)", r"抱歉[，,]", r"お手伝いできません", r"できません", r"도와드릴 수 없",
     ],
 }
-REFUSAL = re.compile("|".join(x for group in REFUSALS.values() for x in group), re.I | re.M)
+REFUSAL = re.compile("|".join(x for group in REFUSALS.values() for x in group), re.M)
+# Every phrase above has one of these parts; most texts have none of them.
+HINTS = [
+    "refus", "declin", "can't", "cannot", "can not", "could not", "unable", "not able", "won't", "will not", "not going to", "'d rather", "not something i", "irresponsible of me", "don't write programs", "permissions that i", "guidelines", "against my",
+    "due to", "sorry", "general topics", "as a", "not comfortable", "person decide", "not to", "ablehn", "verweiger", "lehne", "nicht", "kein", "richtlinien", "je dois", "je préfère", "je vais", "je ne", "impossible", "mes ", "interdi", "ne peux", "pas en mesure",
+    "negarme", "rechaz", "rehusar", "prefiero", "debo", "tengo que", "no me es", "no puedo", "no podr", "no voy", "no quiero", "no debo", "me niego", "mis ", "no estoy", "no me está", "no escribir", "não ", "recusar", "non posso", "rifiutare", "ik kan",
+    "не могу", "отказ", "无法", "不能", "拒绝", "抱歉", "できません", "도와드릴",
+]
 
 # Frequent words that tell a language written in Latin letters, function words first, then those of comments.
 FUNCTION_WORDS = {
@@ -72,7 +79,8 @@ DOCSTRING = re.compile(r'"""(.*?)"""', re.S)
 
 def languages(text: str) -> dict[str, float]:
     """Evidence per language: its script, else the distinct frequent words and signs that tell it."""
-    letters = sum(c.isalpha() for c in text)
+    plain = text.isascii()
+    letters = 0 if plain else sum(map(str.isalpha, text))
     for name, script in SCRIPTS:
         if letters and len(script.findall(text)) * 4 > letters:
             return {name: 9.0}
@@ -82,7 +90,7 @@ def languages(text: str) -> dict[str, float]:
         told = TELLING.get(w, ())
         for k in told:
             score[k] = score.get(k, 0) + 1 / len(told)
-    for sign, k in SIGNS.items():
+    for sign, k in SIGNS.items() if not plain else ():
         if sign in low:
             score[k] = score.get(k, 0) + 1
     return score
@@ -114,22 +122,24 @@ def prose_and_comments(text: str) -> str:
     return "\n".join(out)
 
 
+def declines(text: str) -> bool:
+    low = text.lower().replace("’", "'")
+    return any(h in low for h in HINTS) and bool(REFUSAL.search(low))
+
+
 def has_solution(text: str) -> bool:
     """Some line of code that is no comment, and does more than raise or print a refusal."""
     for _, part in answers.blocks(text)[0]:
         for line in DOCSTRING.sub(" ", part).split("\n"):
             s = line.strip()
-            if s and not s.startswith("#") and answers.CODE_LINE.match(s) and not REFUSAL.search(s) and s not in ("pass", "RESULT = None") and not s.startswith(("print(\"", "raise ")) and re.search(r"[=(]", s):
+            if s and not s.startswith("#") and answers.CODE_LINE.match(s) and s not in ("pass", "RESULT = None") and not s.startswith(("print(\"", "raise ")) and re.search(r"[=(]", s) and not declines(s):
                 return True
     return False
 
 
 def is_refusal(text: str) -> bool:
-    """The answer declines and solves nothing: no code, and no more than a few sentences beside the refusal."""
-    plain = text.replace("’", "'")
-    if not REFUSAL.search(plain) or has_solution(text):
-        return False
-    return True
+    """The answer declines and has no code that solves anything."""
+    return declines(text) and not has_solution(text)
 
 
 def plain_words(text: str) -> list[str]:
@@ -149,7 +159,7 @@ def is_copy(text: str, prompt: str) -> bool:
     asked = plain_words(prompt)
     if len(own) < 4 or len(asked) < 4:
         return bool(own) and own == asked
-    runs = lambda x: [tuple(x[i : i + 4]) for i in range(len(x) - 3)]
+    runs = lambda x: list(zip(x, x[1:], x[2:], x[3:]))
     theirs, mine = set(runs(asked)), runs(own)
     # a list puts its own breaks between the sentences of the task; headings may be left out
     inside = sum(r in theirs for r in mine) / len(mine)
