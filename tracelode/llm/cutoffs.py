@@ -124,7 +124,7 @@ def _parse(keep_text: bool):
 def parsed(raw_messages: DataFrame, chat_requests: DataFrame, keep_text: bool = False) -> DataFrame:
     """One row per delivery, taken apart; see PARSED. Deliveries without a request have no max_tokens."""
     limits = chat_requests.where("request_id is not null").groupBy("request_id").agg(F.max("max_tokens").alias("max_tokens"))
-    both = raw_messages.select("message_id", "request_id", "source", "body").join(limits, "request_id", "left")
+    both = runtime.join_salted(raw_messages.select("message_id", "request_id", "source", "body"), limits, ["request_id"])
     return runtime.cut(both.mapInPandas(_parse(keep_text), PARSED))
 
 
@@ -213,9 +213,7 @@ def endings(rows: DataFrame) -> DataFrame:
     with_items = rows.where(F.size("items") > 0)
     counts = with_items.select("items", "ends").mapInPandas(_counts(words), "key bigint, n bigint, e bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
     asked = with_items.where("verdict = 'unclear'").select("message_id", "items", "ends").mapInPandas(_last(words), "message_id bigint, level string, key bigint, named boolean")
-    # a key may be that of a third of the messages: the counts are few beside them and go to every salt
-    salts = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    met = asked.withColumn("_s", F.pmod(F.hash("message_id"), F.lit(8))).join(counts.withColumn("_s", salts), ["key", "_s"], "left")
+    met = runtime.join_salted(asked, counts, ["key"])  # a key may be that of a third of the messages
     got = {f"{x}_{level}": F.max(F.when(F.col("level") == level, F.col(x))) for level in ("three", "two", "one", "context") for x in ("n", "e")}
     one = met.groupBy("message_id").agg(F.max("named").alias("named"), *[F.coalesce(c, F.lit(0)).alias(k) for k, c in got.items()])
     # each level is drawn towards the next shorter one, by the weight of SHRUNK occurrences
