@@ -9,6 +9,7 @@ from tracelode.operators import docstore as S
 from tracelode.operators import evaluate as E
 from tracelode.operators import generate as N
 from tracelode.operators import graph as G
+from tracelode.operators import pipeline as L
 from tracelode.operators import speech as V
 from tracelode.operators import tensor as T
 from tracelode.operators import textops as X
@@ -191,3 +192,21 @@ def test_texts(spark):
     assert [tuple(r) for r in X.best_candidate(X.json_candidates(j, ["id"], "t"), ["id"], ["verdict"]).collect()] == [(1, '{"verdict": "ok"}')]
     v = spark.createDataFrame([("<OK>", True), ("free text", False), ('{"verdict": "ok"}', True), ('{"verdict": "needs_revision"}', False)], "t string, want boolean")
     assert v.where(X.accepted(F.lit(None).cast("string"), F.col("t")) != F.col("want")).count() == 0
+
+
+def test_pipeline(spark, rows):
+    docs = spark.createDataFrame([(1, 1, "s", "t", '{"id":"9","a":"1"}'), (1, 2, "s", "t", '{"a":"2","checksum":"c"}'), (2, 1, "s", "u", "{}"), (2, 2, "x", "t", "{}")], "trace long, n long, source string, type string, data string")
+    assert {r.trace: r.oracle for r in L.state_oracle(docs, ["trace"], "source", "type", "data").collect()}[1] == '{"s||t":["{\\"a\\":\\"1\\"}","{\\"a\\":\\"2\\"}"]}'
+    assert [(r.trace, r.source, r.type) for r in L.align(docs, "trace", "n", ["source", "type"]).orderBy("trace", "n").collect()] == [(1, "s", "t"), (1, "s", "t"), (2, "s", "u"), (2, "s", "u")]
+    assert L.clear(docs, docs.where("type = 't'"), docs.where("trace = 2"), ["source", "type"]).count() == 3
+    calls = spark.createDataFrame([(1, i, f) for i, f in enumerate(["A", "B", "C", "D"])], "p long, call_no int, f string")
+    start = B.transition_pairs(calls, "p", "f", ["call_no"])
+    none = spark.createDataFrame([], B.BOOK)
+    same, b, kept = L.modify(calls, calls, start, lambda c: (c, none), "p", "f")
+    assert kept and rows(b) == rows(start)
+    _, b, kept = L.modify(calls, calls, start, lambda c: (c.where("f <> 'D'"), book(spark, ("X", "Y", 5))), "p", "f")
+    assert kept and ("X", "Y", 5) in rows(b) and ("C", "D", 1) not in rows(b)
+    _, b, kept = L.modify(calls, calls, start, lambda c: (c.where("f = 'A'"), none), "p", "f")
+    assert not kept and rows(b) == rows(start)
+    v = spark.createDataFrame([(1, True, True, None), (2, False, True, None), (3, False, True, "e")], "id long, result_pass boolean, state_pass boolean, error_info string")
+    assert rows(L.keep_cases(spark.range(1, 5), v, ["id"])) == [(1, "keep"), (2, "recollect"), (3, "drop"), (4, "drop")]

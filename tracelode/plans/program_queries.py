@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelode.operators import dataflow as D
 from tracelode.operators import generate as N
+from tracelode.operators import pipeline as L
 from tracelode.plans.registry import query
 
 
@@ -37,3 +38,28 @@ def q_generate_traces(evaluators):
 def q_random_documents(evaluators):
     docs = N.documents(evaluators.sparkSession, evaluators.count() * 10)
     return docs.groupBy("source", "type").agg(F.count("*").alias("docs"), F.bool_and(F.get_json_object("data", "$.title").isNotNull()).alias("titled"))
+
+
+OPLOG = "SELECT user_id, json_extract_string(props, '$.k') AS k, event_type, round(value, 2) AS value, row_number() OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type <> 'view'"
+
+
+@query("events", sql=f"SELECT user_id, k, event_type AS last_op, value FROM ({OPLOG}) WHERE n = 1 AND event_type <> 'error'")
+def q_fold_log(events):
+    """Objects that live after the log: errors delete an object, views are local, everything else writes it."""
+    log = events.select("user_id", F.get_json_object("props", "$.k").alias("k"), "event_type", F.col("event_type").alias("last_op"), F.round("value", 2).alias("value"), "ts", "event_id")
+    return L.fold(log, ["user_id", "k"], ["ts", "event_id"], "event_type", ["last_op", "value"], "error", "view")
+
+
+@query("events", sql=f"SELECT user_id, count(*) AS entries, count(*) FILTER (WHERE n = 1) AS objects FROM ({OPLOG}) GROUP BY 1")
+def q_log_sizes(events):
+    writes = events.where("event_type <> 'view'")
+    return writes.groupBy("user_id").agg(F.count("*").alias("entries"), F.countDistinct(F.get_json_object("props", "$.k")).alias("objects"))
+
+
+@query("code_messages", sql="""
+SELECT request_id, item_id, CASE WHEN code IS NULL THEN 'no_condition' WHEN NOT regexp_matches(code, '(?m)^if .+ > \\d+:$') THEN 'no_constant' END AS skip_reason FROM code_messages""")
+def q_reversed_skip(code_messages):
+    """Which programs have a branch on a number that can be reversed, and why the others don't."""
+    constant = F.nullif(F.regexp_extract("code", r"(?m)^if .+ > (\d+):$", 1), F.lit(""))
+    reason = L.reversed_skip(F.col("code"), constant, (constant.try_cast("bigint") + 1).cast("string"), F.contains("code", F.concat(constant, F.lit(":"))))
+    return code_messages.select("request_id", "item_id", reason.alias("skip_reason"))

@@ -64,3 +64,11 @@ def with_shared_key(df: DataFrame, keys: list[str], owner: str, salts: int = SAL
     whole = part.groupBy(*keys).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).where("_lo <> _hi").select(*keys)
     marked = part.select(*keys, "_salt").join(whole, keys, "left_semi")
     return salted.join(marked, [*keys, "_salt"], "left_semi").drop("_salt")
+
+
+def join_salted(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = 8) -> DataFrame:
+    """left joined with right, which has one small row per key: a key that holds a third of left is spread over salts
+    tasks, each with its own copy of right's row."""
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
