@@ -84,5 +84,22 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_rates, p6_found, p6_collapsed, p7_packs, p7_fill, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
+P3 = """
+WITH t AS (SELECT DISTINCT program_id, program FROM translations WHERE program_id IS NOT NULL AND length(program) >= 240),
+w AS (SELECT program_id, md5(program) AS doc, i, md5(substr(program, i + 1, 240)) AS h FROM t, unnest(range(length(program) - 239)) r(i)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(program_id) < max(program_id)),
+m AS (SELECT program_id, doc, i, lag(i) OVER (PARTITION BY program_id, doc ORDER BY i) AS p FROM w SEMI JOIN s USING (h)),
+g AS (SELECT *, sum(CASE WHEN i - p <= 240 THEN 0 ELSE 1 END) OVER (PARTITION BY program_id, doc ORDER BY i) AS k FROM m)
+SELECT DISTINCT program_id, span_from, span_chars FROM (SELECT program_id, min(i) AS span_from, max(i) + 240 - min(i) AS span_chars FROM g GROUP BY program_id, doc, k)"""
+
+P4 = """
+WITH f AS (SELECT DISTINCT 'program' AS field_name, program_id, program AS text FROM translations UNION ALL SELECT DISTINCT 'task_instructions', program_id, task_instructions FROM translations),
+d AS (SELECT field_name, program_id, row_number() OVER () AS doc, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM f WHERE program_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT DISTINCT field_name, program_id, doc, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) r(i)),
+n AS (SELECT doc, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT x.field_name, x.program_id AS p, y.program_id AS q, x.doc AS dx, y.doc AS dy, count(*) AS c FROM s x JOIN s y ON x.field_name = y.field_name AND x.g = y.g AND x.doc < y.doc AND x.program_id <> y.program_id GROUP BY ALL)
+SELECT DISTINCT field_name, least(p, q) AS first_id, greatest(p, q) AS second_id FROM b JOIN n nx ON nx.doc = dx JOIN n ny ON ny.doc = dy WHERE c / (nx.n + ny.n - c) >= 0.6"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3, "p4_found": P4}
