@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelode import runtime
+
 STRICT = {"allowSingleQuotes": "false", "allowNumericLeadingZeros": "false", "mode": "PERMISSIVE"}
 BLANK = " \t\n\r"
 NODE = "struct<path:string,parent:string,text:string,is_object:boolean>"
@@ -71,13 +73,13 @@ def _children(node: Column) -> Column:
     return F.coalesce(_nodes(F.when(node["is_object"], fields).otherwise(items)), F.array().cast(f"array<{NODE}>"))
 
 
-def json_nodes(df: DataFrame, id_col: str, json_col: str, record_table: str, levels: int = LEVELS) -> DataFrame:
+def json_nodes(df: DataFrame, id_col: str, json_col: str, record_table: str, levels: int = LEVELS, text: bool = True) -> DataFrame:
     """(record_table, record_id, node_path, parent_path, node): a row for every JSON object in json_col.
 
     Paths: `$` the root, `.key` a field as spelled, `[i]` a list element. parent_path is the path of the nearest
-    enclosing object, '' where there is none. node is the object's JSON text. Null, empty, blank and unreadable columns
-    and a column that is a bare number, text or null yield nothing; empty objects are rows; repeated input rows with one id
-    come out once. An empty table gives an empty table; other columns of df are not read.
+    enclosing object, '' where there is none. node is the object's JSON text, and null without text. Null, empty, blank and
+    unreadable columns and a column that is a bare number, text or null yield nothing; empty objects are rows; repeated input
+    rows with one id come out as often. An empty table gives an empty table; other columns of df are not read.
     """
     base = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(json_col).alias("_json")).where(F.col("_json").isNotNull())
     top = _raw(F.lit("$"), F.lit(""), F.element_at(_alone(F.btrim("_json", F.lit(BLANK))), 1))
@@ -86,21 +88,22 @@ def json_nodes(df: DataFrame, id_col: str, json_col: str, record_table: str, lev
     while True:
         for k in range(levels):
             level = level.withColumn(f"_l{k + 1}", F.flatten(F.transform(f"_l{k}", _children)))
-        nodes = F.flatten(F.array(*[F.col(f"_l{k}") for k in range(levels)]))
-        # inline_outer and max: a filter on the arrays would be pushed below the levels and repeat their expressions.
-        rows = level.select("record_id", F.inline_outer(F.filter(nodes, lambda n: n["is_object"])))
+        objects = F.filter(F.flatten(F.array(*[F.col(f"_l{k}") for k in range(levels)])), lambda n: n["is_object"])
+        kept = F.transform(objects, lambda n: F.struct(n["path"].alias("node_path"), n["parent"].alias("parent_path"), (n["text"] if text else F.lit(None).cast("string")).alias("node")))
+        # cut: the levels are needed twice, for the rows and to see whether deeper ones exist
+        level = runtime.cut(level.select("record_id", kept.alias("_nodes"), F.col(f"_l{levels}").alias("_l0")))
+        rows = level.select("record_id", F.inline("_nodes"))
         out = rows if out is None else out.unionByName(rows)
-        level = level.select("record_id", F.col(f"_l{levels}").alias("_l0"))
-        if not level.agg(F.max(F.size("_l0"))).first()[0]:
+        if level.where(F.size("_l0") > 0).isEmpty():
             break
-    return out.where(F.col("path").isNotNull()).select(
-        F.lit(record_table).alias("record_table"), "record_id", F.col("path").alias("node_path"), F.col("parent").alias("parent_path"), F.col("text").alias("node")
-    )
+        level = level.where(F.size("_l0") > 0).select("record_id", "_l0")
+    return out.select(F.lit(record_table).alias("record_table"), "record_id", "node_path", "parent_path", "node")
 
 
 def found(session_docs: DataFrame, evaluators: DataFrame) -> DataFrame:
-    nodes = json_nodes(session_docs, "session_row", "data", "session_docs").unionByName(json_nodes(evaluators, "case_id", "program_info", "evaluators"))
-    return nodes.drop("node")
+    """(record_table, record_id, node_path, parent_path) of both tables; the ids are unique in both."""
+    one = lambda df, key, column, name: json_nodes(df.select(key, column), key, column, name, text=False).drop("node")
+    return one(session_docs, "session_row", "data", "session_docs").unionByName(one(evaluators, "case_id", "program_info", "evaluators"))
 
 
 def related_table(nodes: DataFrame, shape: str) -> DataFrame:
