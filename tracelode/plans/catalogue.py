@@ -19,9 +19,19 @@ def p2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.related_table(nodes, "$.filters[]").selectExpr("record_id", "node_path", "parent_path", "to_json(fields) as fields")
 
 
+P2 = """
+WITH RECURSIVE src AS (SELECT 'session_docs' AS t, session_row AS id, data AS d FROM session_docs UNION ALL SELECT 'evaluators', case_id, program_info FROM evaluators),
+n AS (SELECT t, id, '$' AS path, '' AS parent, CASE WHEN json_type(v) = 'VARCHAR' THEN (CASE WHEN json_valid(v ->> '$') THEN v ->> '$' END)::JSON ELSE v END AS j FROM (SELECT t, id, d::JSON AS v FROM src WHERE json_valid(d))
+UNION ALL SELECT t, id, path || c.k, CASE WHEN json_type(j) = 'OBJECT' THEN path ELSE parent END,
+CASE WHEN json_type(c.v) = 'VARCHAR' THEN (CASE WHEN json_valid(c.v ->> '$') THEN c.v ->> '$' END)::JSON ELSE c.v END
+FROM (SELECT t, id, path, parent, j, unnest(CASE json_type(j) WHEN 'OBJECT' THEN list_transform(json_keys(j), lambda k: {'k': '.' || k, 'v': json_extract(j, k)})
+ELSE list_transform(range(json_array_length(j)::BIGINT), lambda i: {'k': '[' || i || ']', 'v': json_extract(j, '$[' || i || ']')}) END) AS c FROM n WHERE json_type(j) IN ('OBJECT', 'ARRAY')))
+SELECT t AS record_table, id AS record_id, path AS node_path, parent AS parent_path FROM n WHERE json_type(j) = 'OBJECT'"""
+
+
 def queries() -> dict[str, registry.Query]:
     return {f.__name__: f for f in (p2_found, p2_tables)} | registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(registry.SQL)
+    return {"p2_found": P2} | registry.SQL
