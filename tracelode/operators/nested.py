@@ -10,6 +10,10 @@ step opens an object, and a text that holds one.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ BLANK = " \t\n\r"
 NODE = "struct<path:string,parent:string,text:string,is_object:boolean>"
 #: Levels that are unrolled in one plan before it is checked whether deeper ones exist.
 LEVELS = 12
+#: Rows that tables() hands over at once.
+CHUNK = 20_000
 
 
 def _bind(value: Column, use) -> Column:
@@ -106,9 +112,101 @@ def found(session_docs: DataFrame, evaluators: DataFrame) -> DataFrame:
     return one(session_docs, "session_row", "data", "session_docs").unionByName(one(evaluators, "case_id", "program_info", "evaluators"))
 
 
+def _is_value(text: Column) -> Column:
+    """Whether a field's value stays in its object's row: all but objects and lists of nothing but objects, which have rows
+    of their own."""
+    trimmed = F.btrim(text, F.lit(BLANK))
+    items = F.from_json(trimmed, "array<string>", STRICT)
+    only_objects = (F.size(items) > 0) & F.forall(items, lambda v: F.coalesce(_kind(F.btrim(v, F.lit(BLANK))), F.lit(False)))
+    return F.coalesce(~F.when(_kind(trimmed), F.lit(True)).otherwise(only_objects), F.lit(True))
+
+
 def related_table(nodes: DataFrame, shape: str) -> DataFrame:
-    """One flat table of those nodes whose path without indices is shape (`$.filters[]`), scalar fields as a map that
-    keeps the link (record_table, record_id, parent_path) to the row of the parent's table."""
+    """One flat table of those nodes whose path without indices is shape (`$.filters[]`), scalar fields and lists that hold
+    more than objects as a map that keeps the link (record_table, record_id, parent_path) to the row of the parent's table."""
     fits = F.regexp_replace("node_path", r"\[\d+\]", "[]") == shape
-    fields = F.map_filter(F.from_json("node", "map<string,string>", STRICT), lambda k, v: v.isNull() | ~v.rlike(r"^[ \t\n\r]*[\[{]"))
+    fields = F.map_filter(F.from_json("node", "map<string,string>", STRICT), lambda k, v: _is_value(v))
     return nodes.where(fits).select("record_table", "record_id", "node_path", "parent_path", fields.alias("fields"))
+
+
+class _Raw(str):
+    """A number as spelled."""
+
+
+def _opened(v):
+    """The object or list that a text holds; any other value as it is."""
+    if isinstance(v, _Raw) or not isinstance(v, str):
+        return v
+    s = v.strip(BLANK)
+    if s[:1] + s[-1:] not in ("{}", "[]"):
+        return v
+    try:
+        return json.loads(s, parse_float=_Raw, parse_int=_Raw, parse_constant=_Raw)
+    except (ValueError, RecursionError):
+        return v
+
+
+def _json(v) -> str:
+    if isinstance(v, _Raw):
+        return str(v)
+    out = json.dumps(v, ensure_ascii=False)
+    return out if out.isascii() or not any("\ud800" <= c <= "\udfff" for c in out) else json.dumps(v)
+
+
+def _name(path: str) -> str:
+    return path.encode("utf-8", "replace").decode()
+
+
+def table_rows(text: str) -> Iterator[tuple[str, str, str, str | None, str | None]]:
+    """(shape, node_path, parent_path, fields, item) of one column value, as tables() has them."""
+    try:
+        root = json.loads(text, parse_float=_Raw, parse_int=_Raw, parse_constant=_Raw)
+    except (ValueError, RecursionError):
+        return
+    root = _opened(root)
+    stack = [("$", "$", "", root)] if isinstance(root, dict | list) else []
+    while stack:
+        shape, path, parent, v = stack.pop()
+        if isinstance(v, dict):
+            fields, below = [], []
+            for k, x in v.items():
+                x = _opened(x)
+                if isinstance(x, dict | list):
+                    below.append((f"{shape}.{k}", f"{path}.{k}", path, x))
+                else:
+                    fields.append(f"{_json(k)}:{_json(x)}")
+            stack.extend(reversed(below))
+            yield _name(shape), _name(path), _name(parent), "{" + ",".join(fields) + "}", None
+        elif isinstance(v, list) and v:
+            stack.extend((f"{shape}[]", f"{path}[{i}]", parent, _opened(v[i])) for i in range(len(v) - 1, -1, -1))
+        else:
+            yield _name(shape), _name(path), _name(parent), None, _json(v)
+
+
+def _table_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["record_id", "shape", "node_path", "parent_path", "fields", "item"]
+    rows: list[tuple] = []
+    for b in batches:
+        for i, text in zip(b["record_id"], b["_json"]):
+            for row in table_rows(text):
+                rows.append((i, *row))
+                if len(rows) >= CHUNK:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def tables(df: DataFrame, id_col: str, json_col: str, record_table: str) -> DataFrame:
+    """(record_table, record_id, shape, node_path, parent_path, fields, item): the flat tables of all shapes, one below the other.
+
+    shape is node_path without indices (`$.filters[]`) and names the table. Each object is a row, with fields the JSON of
+    its scalar fields, texts that are no JSON and nulls included; objects and lists in it have rows of their own. Each other
+    element of a list is a row too, with its JSON as item; so is a list without elements. parent_path is the enclosing
+    object's node_path and links both to their parent's row, '' where there is none. Numbers stay as spelled and numbers,
+    texts, true, false and null apart, which from_json to strings would not keep; hence Python. Null, unreadable and bare
+    columns as in json_nodes(); further columns are not read.
+    """
+    need = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(json_col).alias("_json")).where(F.col("_json").isNotNull())
+    rows = need.mapInPandas(_table_rows, "record_id bigint, shape string, node_path string, parent_path string, fields string, item string")
+    return rows.select(F.lit(record_table).alias("record_table"), "*")

@@ -14,9 +14,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat table of the filters of session documents, linked to the document each came from."""
-    nodes = nested.json_nodes(table(spark, sf_dir, "session_docs"), "session_row", "data", "session_docs")
-    return nested.related_table(nodes, "$.filters[]").selectExpr("record_id", "node_path", "parent_path", "to_json(fields) as fields")
+    """The flat tables of all shapes of both columns, each row linked to the object it came from."""
+    docs = nested.tables(table(spark, sf_dir, "session_docs"), "session_row", "data", "session_docs")
+    return docs.unionByName(nested.tables(table(spark, sf_dir, "evaluators"), "case_id", "program_info", "evaluators"))
 
 
 P2 = """
