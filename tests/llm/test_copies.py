@@ -59,3 +59,16 @@ def test_filter_never_loses_a_repeat(spark, monkeypatch):
 def test_numbers_by_value():
     assert C.canonical(C.opened('{"a": 100}')) == C.canonical(C.opened('{"a": 1e2}')) != C.canonical(C.opened('{"a": "100"}'))
     assert C.canonical(True) != C.canonical("true") and C.canonical(None) != C.canonical("null")
+
+
+def test_null_and_unreadable_rows_are_records_too(spark):
+    got = {r.kept_row: r.copies for r in C.records(make(spark, ROWS)).collect()}
+    assert got == {3: 4, 4: 1, 6: 1, 7: 1, 10: 1, 11: 1, 12: 1, 13: 1, 14: 1, 20: 2, 22: 1, 23: 1, 24: 1, 25: 2} and sum(got.values()) == len(ROWS)
+    assert C.records(make(spark, [])).count() == 0
+
+
+def test_collapsed_query_counts_every_row(spark, sf_dir):
+    from tracelode.llm import queries as Q
+    from tracelode.runtime import table
+
+    assert Q.p6_collapsed(spark, sf_dir).selectExpr("sum(copies)").first()[0] == table(spark, sf_dir, "session_docs").count()

@@ -155,11 +155,22 @@ def copies(df: DataFrame, id_col: str = "session_row", source: str = "source", k
     return pairs.where("row <> kept").select(F.col("kept").alias("kept_row"), F.col("row").alias("copy_row"))
 
 
-def collapsed(df: DataFrame, id_col: str = "session_row", source: str = "source", kind: str = "type", data: str = "data") -> DataFrame:
-    """(kept_row, copies): one row per distinct record with the number of rows that are equal to it; singletons have 1.
-    Null and unreadable rows are as in copies()."""
-    rows, likely, marked = groups(df, id_col, source, kind, data)
+def _one_each(rows: DataFrame, likely: DataFrame, marked: DataFrame) -> DataFrame:
+    """(kept_row, copies) of rows, a table of ids: those in no set of equal records stand alone."""
     many = marked.select("kept", "copies").distinct()
     later = likely.join(marked, ["h1", "h2", "_salt"]).select("row")
     single = rows.join(later, "row", "left_anti").select(F.col("row").alias("kept_row"), F.lit(1).cast("bigint").alias("copies"))
     return single.unionByName(many.select(F.col("kept").alias("kept_row"), "copies"))
+
+
+def collapsed(df: DataFrame, id_col: str = "session_row", source: str = "source", kind: str = "type", data: str = "data") -> DataFrame:
+    """(kept_row, copies): one row per distinct readable record with the number of rows that are equal to it; singletons have 1.
+    Null and unreadable rows are left out as in copies(); records() has them."""
+    return _one_each(*groups(df, id_col, source, kind, data))
+
+
+def records(df: DataFrame, id_col: str = "session_row", source: str = "source", kind: str = "type", data: str = "data") -> DataFrame:
+    """(kept_row, copies) as in collapsed(), and each row with a null source, type or data or with unreadable data, which
+    equals no other, as a record with 1 copy: the copies add up to the rows of df."""
+    _, likely, marked = groups(df, id_col, source, kind, data)
+    return _one_each(df.select(F.col(id_col).cast("bigint").alias("row")), likely, marked)

@@ -49,7 +49,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies.collapsed(table(spark, sf_dir, "session_docs"))
+    return copies.records(table(spark, sf_dir, "session_docs"))
 
 
 def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
