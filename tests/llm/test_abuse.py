@@ -68,3 +68,27 @@ def test_too_few_labels_flag_nothing(spark):
     df = spark.createDataFrame([(1, "a b c", "s")], "doc_id long, text string, source string")
     lab = spark.createDataFrame([], "doc_id long, rater string, abusive int, hateful int, sexual int")
     assert B.found(df, lab).count() == 0 and B.scores(df.where("false"), lab).count() == 0 and B.rates(df, lab).first().flagged == 0
+
+
+def test_all_trigrams_of_a_long_word_count():
+    for word in ("a", "patheticmoron", "x" * 30 + "moron"):
+        w = f"<{word}>"
+        assert B.trigrams(word) == [B.xxhash.xxh32_intdigest(w[i : i + 3]) % B.TRIGRAMS for i in range(len(word))]
+    net, lex = B.Network(3), B.Lexicon({"a": 1})
+    words = ["a", "patheticmoron", "s" * 40 + "coward", "verylong" * 60_000]
+    lex.ids(words)
+    want = [np.zeros(B.D_CHAR)] + [net.p["tri"][B.trigrams(w)].astype(float).mean(axis=0) for w in words]
+    assert np.allclose(net.inputs(lex.arrays())[:, B.D_WORD :], want, atol=1e-4)
+
+
+def test_gradient_of_a_long_words_last_trigram():
+    net, lex = B.Network(1), B.Lexicon({})
+    w, arrays = B.windows(lex.ids(["s" * 30 + "coward", "of"])), lex.arrays()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    loss = lambda: -float(np.log(B.sigmoid(net.forward(w, net.gates(net.inputs(arrays)))))[0])
+    net.step(w, np.ones(1, np.float32), np.ones(1, np.float32), arrays, 0.0)
+    at, was = (arrays[1][1][-1], 2), net.p["tri"].copy()
+    net.p["tri"][at] += 1e-4
+    up = loss()
+    net.p["tri"][at] -= 2e-4
+    assert abs((up - loss()) / 2e-4 - (net.m["tri"][at] / 0.1 - 1e-5 * was[at])) < 1e-4

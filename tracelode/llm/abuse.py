@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 #: Most labelled documents, and most characters of one text, that are fetched for training; scoring has no such bounds.
 LABELLED, TRAINING_CHARS = 12_000, 20_000
 WINDOW, STRIDE = 24, 12
-D_WORD, D_CHAR, HIDDEN, ATTENTION, TRIGRAMS, PER_WORD = 24, 24, 24, 24, 1 << 12, 12
+D_WORD, D_CHAR, HIDDEN, ATTENTION, TRIGRAMS = 24, 24, 24, 24, 1 << 12
 EPOCHS, BATCH = 9, 160
+#: Trigrams whose embeddings are fetched at once, and most that a worker keeps from batch to batch.
+FETCHED, KEPT = 1 << 17, 4_000_000
 
 # Characters that stand in for letters.
 STAND_INS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i"})
@@ -51,9 +53,16 @@ def tokens(text: str) -> list[str]:
 
 
 def trigrams(word: str) -> list[int]:
-    w = f"<{word[:24]}>"
-    step = max(1, (len(w) - 2) // PER_WORD + ((len(w) - 2) % PER_WORD > 0))
-    return [xxhash.xxh32_intdigest(w[i : i + 3]) % TRIGRAMS for i in range(0, max(1, len(w) - 2), step)][:PER_WORD]
+    """Ids of all trigrams of the whole word, its ends marked."""
+    w = f"<{word}>"
+    return [xxhash.xxh32_intdigest(w[i : i + 3]) % TRIGRAMS for i in range(len(w) - 2)]
+
+
+def ragged(rows: list[np.ndarray]) -> np.ndarray:
+    out = np.empty(len(rows), object)
+    for i, x in enumerate(rows):
+        out[i] = x
+    return out
 
 
 class Lexicon:
@@ -63,7 +72,8 @@ class Lexicon:
         self.known = known
         self.rows: dict[str, int] = {}
         self.word: list[int] = [0]
-        self.tri: list[list[int]] = [[]]
+        self.tri: list[np.ndarray] = [np.empty(0, np.int16)]
+        self.trigrams = 0
 
     def ids(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words), np.int32)
@@ -72,17 +82,14 @@ class Lexicon:
             if r is None:
                 r = self.rows[w] = len(self.word)
                 self.word.append(self.known.get(w, 0))
-                self.tri.append(trigrams(w))
+                self.tri.append(np.array(trigrams(w), np.int16))
+                self.trigrams += len(w)
             out[i] = r
         return out
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        tri = np.zeros((len(self.tri), PER_WORD), np.int32)
-        mask = np.zeros((len(self.tri), PER_WORD), np.float32)
-        for i, x in enumerate(self.tri):
-            tri[i, : len(x)] = x
-            mask[i, : len(x)] = 1 / max(1, len(x))
-        return np.array(self.word, np.int32), tri, mask
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per row, the place of the word and the list of its trigrams."""
+        return np.array(self.word, np.int32), ragged(self.tri)
 
 
 def windows(ids: np.ndarray) -> np.ndarray:
@@ -114,8 +121,21 @@ class Network:
         self.t = 0
 
     def inputs(self, lexicon: tuple) -> np.ndarray:
-        word, tri, mask = lexicon
-        return np.concatenate([self.p["word"][word], np.einsum("utd,ut->ud", self.p["tri"][tri], mask, optimize=True)], axis=1)
+        word, tri = lexicon
+        return np.concatenate([self.p["word"][word], self.averages(tri)], axis=1)
+
+    def averages(self, tri: np.ndarray) -> np.ndarray:
+        """The mean embedding of all trigrams of each word; 0 for a word without any."""
+        n = np.array([len(x) for x in tri], np.int64)
+        out = np.zeros((len(tri), D_CHAR), self.p["tri"].dtype)
+        for i in np.flatnonzero(n > FETCHED):
+            out[i] = np.bincount(tri[i], minlength=TRIGRAMS) @ self.p["tri"]
+        some = np.flatnonzero((n > 0) & (n <= FETCHED))
+        part = np.cumsum(n[some]) // FETCHED
+        for at in np.split(some, np.flatnonzero(np.diff(part)) + 1) if len(some) else ():
+            start = np.concatenate([[0], np.cumsum(n[at])[:-1]])
+            out[at] = np.add.reduceat(self.p["tri"][np.concatenate(list(tri[at]))], start, axis=0)
+        return out / np.maximum(n, 1)[:, None].astype(out.dtype)
 
     def _direction(self, k: str, gx: np.ndarray, live: np.ndarray, keep: list | None):
         """States of one direction; gx: input parts of the gates, (B, T, 3h)."""
@@ -155,8 +175,8 @@ class Network:
     def step(self, w: np.ndarray, y: np.ndarray, weight: np.ndarray, lexicon: tuple, rate: float) -> float:
         used, inverse = np.unique(w, return_inverse=True)
         inverse = inverse.reshape(w.shape)
-        word, tri, mask = (x[used] for x in lexicon)
-        x = self.inputs((word, tri, mask))
+        word, tri = (x[used] for x in lexicon)
+        x = self.inputs((word, tri))
         blank = used[0] == 0
         local = inverse if blank else inverse + 1
         if not blank:
@@ -202,7 +222,8 @@ class Network:
         g["word"], g["tri"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["tri"])
         np.add.at(g["word"], word, d_x[:, :D_WORD])
         g["word"][0] = 0
-        np.add.at(g["tri"], tri.ravel(), (d_x[:, None, D_WORD:] * mask[:, :, None]).reshape(-1, D_CHAR))
+        n = np.array([len(t) for t in tri])
+        np.add.at(g["tri"], np.concatenate(list(tri)), np.repeat(d_x[:, D_WORD:] / np.maximum(n, 1)[:, None].astype(d_x.dtype), n, axis=0))
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         self.t += 1
         for k, v in g.items():
@@ -314,7 +335,7 @@ def _score(model, id_col: str, text_col: str):
         net: Network = m["net"]
         lexicon = Lexicon(m["known"])
         for b in batches:
-            if len(lexicon.word) > 200_000:
+            if len(lexicon.word) > 200_000 or lexicon.trigrams > KEPT:
                 lexicon = Lexicon(m["known"])
             per_doc = [windows(lexicon.ids(tokens(t))) for t in b[text_col]]
             if not per_doc:
@@ -325,11 +346,7 @@ def _score(model, id_col: str, text_col: str):
             if used[0] != 0:
                 used, inverse = np.concatenate([[0], used]), inverse + 1
             word = np.array([lexicon.word[i] for i in used], np.int32)
-            tri, mask = np.zeros((len(used), PER_WORD), np.int32), np.zeros((len(used), PER_WORD), np.float32)
-            for k, i in enumerate(used):
-                x = lexicon.tri[i]
-                tri[k, : len(x)], mask[k, : len(x)] = x, 1 / max(1, len(x))
-            score = net.score(inverse.reshape(every.shape), net.gates(net.inputs((word, tri, mask))))
+            score = net.score(inverse.reshape(every.shape), net.gates(net.inputs((word, ragged([lexicon.tri[i] for i in used])))))
             most = np.maximum.reduceat(score, start[:-1])
             yield pd.DataFrame({"doc_id": b[id_col], "score": sigmoid(most - m["threshold"]).astype(float), "flagged": most > m["threshold"]})
 
