@@ -97,3 +97,11 @@ def test_last_delivery_counts(spark):
     df = spark.createDataFrame([(*r, "v", "w") for r in raw], RAW).selectExpr("*", "cast(received_at as timestamp) as at").drop("received_at").withColumnRenamed("at", "received_at")
     got = sorted(tuple(r) for r in D.found(spark.createDataFrame([(1, P, "x"), (2, P, "x"), (2, P, "x"), (3, None, "x")], PROMPT), df, spark.createDataFrame([(1, 100, 1)], CHAT)).collect())
     assert got == [(2, "refusal"), (3, "empty"), (4, "refusal")]
+
+
+def test_a_word_in_five_answers_is_known_however_many_there_are(spark):
+    common, five, four = 1000, 2000, 3000
+    last = lambda i: five if i < 5 else four if i < 9 else common
+    rows = [(i, [common, last(i)], [2], "unclear" if i in (0, 5) else "complete") for i in range(14_000)]
+    df = spark.createDataFrame(rows, "message_id long, items array<long>, ends array<int>, verdict string")
+    assert {r.message_id: r.named for r in C.endings(df).collect()} == {0: False, 5: True}

@@ -23,8 +23,8 @@ from tracelode import runtime
 from tracelode.llm import answers
 from tracelode.llm.hashing import mix
 
-#: A word counts as known from RARE answers on, or this share of all; at most VOCABULARY words are known.
-RARE, RARE_SHARE, VOCABULARY = 5, 0.0005, 100_000
+#: A word counts as known from RARE answers on, however many answers there are.
+RARE = 5
 #: Occurrences from which the counts for an ending are believed.
 BELIEVED, SHRUNK = 3, 2.0
 NUMBER, LOWER, UPPER, START = (np.int64(x) for x in (8, 16, 17, 24))
@@ -136,19 +136,28 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"item": at, "df": n})
 
 
-def _vocabulary(rows: DataFrame) -> np.ndarray:
-    counted = rows.where(F.size("items") > 0).select("items").mapInPandas(_words, "item bigint, df bigint").groupBy("item").agg(F.sum("df").alias("df"))
-    n = rows.count()
-    common = counted.where(F.col("df") >= max(RARE, RARE_SHARE * n)).orderBy(F.desc("df"), "item").limit(VOCABULARY)
-    return np.sort(np.array(common.agg(F.collect_list("item")).first()[0], np.int64))
+def _seldom(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words of each delivery that aren't known to be common from the batch alone."""
+    for b in batches:
+        lists = [np.unique(np.asarray(x, np.int64)) for x in b["items"]]
+        if lists:
+            items = np.concatenate(lists)
+            _, where, n = np.unique(items, return_inverse=True, return_counts=True)
+            few = n[where] < RARE
+            yield pd.DataFrame({"message_id": np.repeat(b["message_id"].to_numpy(), [len(x) for x in lists])[few], "item": items[few]})
+
+
+def with_rare(rows: DataFrame) -> DataFrame:
+    """The rows with items and, as rare, those of their words that fewer than RARE deliveries have; no word list is sent around."""
+    some = rows.where(F.size("items") > 0)
+    counted = some.select("items").mapInPandas(_words, "item bigint, df bigint").groupBy("item").agg(F.sum("df").alias("df"))
+    pairs = some.where("message_id is not null").select("message_id", "items").mapInPandas(_seldom, "message_id bigint, item bigint")
+    rare = pairs.join(counted.where(F.col("df") < RARE).select("item"), "item", "left_semi").groupBy("message_id").agg(F.collect_set("item").alias("rare"))
+    return some.select("message_id", "items", "ends", "verdict").join(rare, "message_id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<bigint>")))
 
 
-def _known(items: np.ndarray, words: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(words, items)
-    known = np.zeros(len(items), bool)
-    inside = at < len(words)
-    known[inside] = words[at[inside]] == items[inside]
-    return np.where(known | (items == NUMBER), items, np.where(items & 1, UPPER, LOWER))
+def _known(items: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    return np.where(np.isin(items, rare) & (items != NUMBER), np.where(items & 1, UPPER, LOWER), items)
 
 
 def _key(*parts: np.ndarray) -> np.ndarray:
@@ -159,9 +168,9 @@ def _key(*parts: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def _spread(items, ends, words: np.ndarray):
+def _spread(items, ends, rare):
     """Known items with two START items before each segment: three shifted views and flags of segment ends."""
-    x = _known(np.asarray(items, np.int64), words)
+    x = _known(np.asarray(items, np.int64), np.asarray(rare, np.int64))
     n, stops = len(x), np.asarray(ends, np.int64)
     first = np.zeros(n + 1, bool)
     first[0] = True
@@ -175,44 +184,37 @@ def _spread(items, ends, words: np.ndarray):
     return x, before1, before2, end
 
 
-def _counts(words):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys, stops = [], []
-            for items, ends in zip(b["items"], b["ends"]):
-                x, p1, p2, end = _spread(items, ends, words.value)
-                x, p1, p2, end = x[:-1], p1[:-1], p2[:-1], end[:-1]  # what the last item of an answer ends is the question
-                keys += [_key(p2, p1, x), _key(p1, x), _key(x)]
-                stops += [end, end, end]
-            if keys:
-                at, where = np.unique(np.concatenate(keys), return_inverse=True)
-                n, e = np.bincount(where), np.bincount(where, np.concatenate(stops))
-                yield pd.DataFrame({"key": at, "n": n, "e": e.astype(np.int64)})
-
-    return run
-
-
-def _last(words):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for mid, items, ends in zip(b["message_id"], b["items"], b["ends"]):
-                x, p1, p2, _ = (v[-1:] for v in _spread(items, ends, words.value))
-                named = bool(x[0] in (NUMBER, LOWER, UPPER))
-                out += [(mid, name, int(_key(*k)[0]), named) for name, k in (("three", (p2, p1, x)), ("two", (p1, x)), ("one", (x,)), ("context", (p2, p1)))]
-            yield pd.DataFrame(out, columns=["message_id", "level", "key", "named"])
-
-    return run
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        keys, stops = [], []
+        for items, ends, rare in zip(b["items"], b["ends"], b["rare"]):
+            x, p1, p2, end = _spread(items, ends, rare)
+            x, p1, p2, end = x[:-1], p1[:-1], p2[:-1], end[:-1]  # what the last item of an answer ends is the question
+            keys += [_key(p2, p1, x), _key(p1, x), _key(x)]
+            stops += [end, end, end]
+        if keys:
+            at, where = np.unique(np.concatenate(keys), return_inverse=True)
+            n, e = np.bincount(where), np.bincount(where, np.concatenate(stops))
+            yield pd.DataFrame({"key": at, "n": n, "e": e.astype(np.int64)})
+
+
+def _last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for mid, items, ends, rare in zip(b["message_id"], b["items"], b["ends"], b["rare"]):
+            x, p1, p2, _ = (v[-1:] for v in _spread(items, ends, rare))
+            named = bool(x[0] in (NUMBER, LOWER, UPPER))
+            out += [(mid, name, int(_key(*k)[0]), named) for name, k in (("three", (p2, p1, x)), ("two", (p1, x)), ("one", (x,)), ("context", (p2, p1)))]
+        yield pd.DataFrame(out, columns=["message_id", "level", "key", "named"])
 
 
 def endings(rows: DataFrame) -> DataFrame:
     """(message_id, named, p_end) of the unclear rows: how often the last items end a segment elsewhere, and whether the
     last one is a number or a rare word, of which a part would pass for a whole. Null p_end: a fragment, as nothing like it
     follows these words elsewhere."""
-    words = rows.sparkSession.sparkContext.broadcast(_vocabulary(rows))
-    with_items = rows.where(F.size("items") > 0)
-    counts = with_items.select("items", "ends").mapInPandas(_counts(words), "key bigint, n bigint, e bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
-    asked = with_items.where("verdict = 'unclear'").select("message_id", "items", "ends").mapInPandas(_last(words), "message_id bigint, level string, key bigint, named boolean")
+    with_items = runtime.cut(with_rare(rows))
+    counts = with_items.select("items", "ends", "rare").mapInPandas(_counts, "key bigint, n bigint, e bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    asked = with_items.where("verdict = 'unclear'").select("message_id", "items", "ends", "rare").mapInPandas(_last, "message_id bigint, level string, key bigint, named boolean")
     met = runtime.join_salted(asked, counts, ["key"])  # a key may be that of a third of the messages
     got = {f"{x}_{level}": F.max(F.when(F.col("level") == level, F.col(x))) for level in ("three", "two", "one", "context") for x in ("n", "e")}
     one = met.groupBy("message_id").agg(F.max("named").alias("named"), *[F.coalesce(c, F.lit(0)).alias(k) for k, c in got.items()])
