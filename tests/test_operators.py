@@ -210,3 +210,10 @@ def test_pipeline(spark, rows):
     assert not kept and rows(b) == rows(start)
     v = spark.createDataFrame([(1, True, True, None), (2, False, True, None), (3, False, True, "e")], "id long, result_pass boolean, state_pass boolean, error_info string")
     assert rows(L.keep_cases(spark.range(1, 5), v, ["id"])) == [(1, "keep"), (2, "recollect"), (3, "drop"), (4, "drop")]
+
+
+def test_paths_have_no_cap_in_depth(spark, rows):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "src string, dst string")
+    assert G.path_depth(e).first().depth == 9
+    assert rows(G.chains(e)) == [(" -> ".join(f"n{i}" for i in range(10)), 9)]
+    assert G.path_depth(e, 4).first().depth == 4

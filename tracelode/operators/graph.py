@@ -1,5 +1,5 @@
 """Graphs of operations: degrees, simple paths, chains and metrics. Edge tables hold a row per pair of names, so they are
-small whatever the size of the log they come from; paths are capped in depth as their number grows exponentially."""
+small whatever the size of the log they come from. The number of simple paths can grow exponentially with the edges."""
 
 from __future__ import annotations
 
@@ -18,26 +18,32 @@ def degrees(edges: DataFrame) -> DataFrame:
     return d.withColumn("role", F.when(F.col("in_degree") == 0, "source").when(F.col("out_degree") == 0, "sink").otherwise("inner"))
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame | None = None, depth: int = 6) -> DataFrame:
-    """(path, steps): simple paths of up to depth edges, from all nodes or from starts (node). Each round joins the paths'
-    ends with the edges."""
+def simple_paths(edges: DataFrame, starts: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """(path, steps): simple paths, of up to depth edges if given, from all nodes or from starts (node). Each round joins the
+    paths' ends with the edges; without depth, rounds run until no path grows."""
     e = runtime.cut(edges.select("src", "dst").where("src <> dst").distinct())
     first = e if starts is None else e.join(starts.select(F.col("node").alias("src")), "src", "left_semi")
     level = first.select(F.array("src", "dst").alias("path"), F.lit(1).alias("steps"))
     out = level
-    for k in range(2, depth + 1):
+    k = 2
+    while depth is None or k <= depth:
         end = level.withColumn("src", F.element_at("path", -1))
         level = end.join(e, "src").where(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"), F.lit(k).alias("steps"))
+        if depth is None:
+            level = runtime.cut(level)
+            if level.isEmpty():
+                break
         out = out.unionByName(level)
+        k += 1
     return out
 
 
-def path_depth(edges: DataFrame, depth: int = 6) -> DataFrame:
+def path_depth(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """One row: edges of the longest simple path, 0 without edges."""
     return simple_paths(edges, None, depth).agg(F.coalesce(F.max("steps"), F.lit(0)).alias("depth"))
 
 
-def chains(edges: DataFrame, depth: int = 6, strip: str | None = None) -> DataFrame:
+def chains(edges: DataFrame, depth: int | None = None, strip: str | None = None) -> DataFrame:
     """(chain, steps): simple paths from sources to sinks that are no contiguous part of another; without sources all nodes
     are sources, without sinks there is no chain. strip leaves a first node of that name out."""
     d = degrees(edges)
