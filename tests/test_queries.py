@@ -53,3 +53,10 @@ def test_runs_without_sql(spark, sf_dir, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_fenced_code_is_stripped_and_kept(spark, tmp_path):
+    code = ["```py\nx = 1\n```", "x = '`'", " y = 2 ", "z = 3", "", None]
+    spark.createDataFrame([(i, i, c) for i, c in enumerate(code)], "request_id long, item_id long, code string").write.parquet(str(tmp_path / "code_messages.parquet"))
+    got = {r.request_id: r.stripped for r in QUERIES["q_strip_fence"](spark, str(tmp_path)).collect()}
+    assert got == {0: "x = 1", 1: "x = '`'", 2: "y = 2", 3: "z = 3"}

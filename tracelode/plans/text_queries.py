@@ -21,8 +21,8 @@ def q_code_extract(translations):
 
 @query("code_messages", sql="SELECT request_id, item_id, code AS stripped FROM code_messages WHERE code IS NOT NULL AND length(code) > 0 AND NOT contains(code, '`') AND code = trim(code, ' ')")
 def q_strip_fence(code_messages):
-    c = code_messages.where("code is not null and length(code) > 0 and not contains(code, '`') and code = trim(code)")
-    return c.select("request_id", "item_id", T.strip_fence(F.concat(F.lit("```py\n"), "code", F.lit("\n```"))).alias("stripped"))
+    """Code as it stands, with its fence taken off if it has one; the SQL has only rows without backticks and outer blanks."""
+    return code_messages.where("code is not null and length(code) > 0").select("request_id", "item_id", T.strip_fence(F.col("code")).alias("stripped"))
 
 
 @query("prompt_messages", sql="""
