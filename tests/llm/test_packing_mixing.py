@@ -71,3 +71,16 @@ def test_mixture(spark):
     assert abs(shares["small"].actual_share - 0.7 / 0.95) < 0.002 and shares["small"].most_uses == 3 and shares["big"].most_uses == 1 and shares["none"].tokens == 0
     assert mixed.groupBy("doc_id", "pass").count().where("count > 1").count() == 0
     assert M.mixture(df.where("false"), targets).count() == 0 and M.mixture(df, targets.where("false")).count() == 0
+
+
+def test_temperature_reaches_the_entropy(spark):
+    q, p = np.array([100.0, 1000.0, 50.0]), np.array([0.5, 0.3, 0.2])
+    got = M.at_entropy(q, M.entropy(p))
+    slope = np.diff(np.log(got)) / np.diff(np.log(q))
+    assert M.entropy(got) == pytest.approx(M.entropy(p)) and np.allclose(slope, slope[0]) and 0 < slope[0] < 1
+    assert np.allclose(M.at_entropy(q, np.log(3)), 1 / 3, atol=1e-6) and M.at_entropy(q, 0.0)[1] > 0.999
+    assert np.allclose(M.at_entropy(np.array([7.0]), 0.0), 1) and np.allclose(M.at_entropy(q, M.entropy(q)), q / q.sum())
+    df = spark.createDataFrame([(i, "big" if i % 5 else "small", 10) for i in range(3000)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("small", 0.6, 3), ("big", 0.4, 2)], "source string, target_share double, max_repeats int")
+    shares = {r.source: r.actual_share for r in M.share_report(M.mixture(df, targets, block=50, tempered=True), targets).collect()}
+    assert abs(shares["big"] - 0.6) < 0.002 and abs(shares["small"] - 0.4) < 0.002

@@ -2,7 +2,7 @@
 
 The weights are exponentiated shares: w(a) is proportional to natural^(1-a) * target^a, and a = 1 is the target itself. If no
 size is asked for, it is the largest at which the target meets every limit. For a larger one, a is bisected down to where
-the limits hold. A source's budget is realised as whole passes and one partial pass over a permutation of its blocks.
+the limits hold. tempered asks for other shares: the natural ones exponentiated to the entropy of the target. A source's budget is realised as whole passes and one partial pass over a permutation of its blocks.
 """
 
 from __future__ import annotations
@@ -43,8 +43,28 @@ def weights(natural: np.ndarray, target: np.ndarray, repeats: np.ndarray, size:
     return mixed(low), low, size
 
 
-def budgets(sized: DataFrame, targets: DataFrame, size: float | None = None) -> DataFrame:
-    """(source, natural, target_share, max_repeats, budget) per source that has both tokens and a target."""
+def entropy(p: np.ndarray) -> float:
+    p = p[p > 0] / p.sum()
+    return float(-(p * np.log(p)).sum())
+
+
+def at_entropy(natural: np.ndarray, wanted: float) -> np.ndarray:
+    """Shares proportional to natural^(1/T) with the temperature T bisected to the entropy wanted (in nats), or the nearest
+    that a temperature above 0 gives: between that of the largest sources alone and that of equal shares."""
+    logs = np.log(natural / natural.max())
+    shares = lambda b: (lambda x: x / x.sum())(np.exp(b * logs))
+    low, high = 0.0, 1.0
+    while entropy(shares(high)) > wanted and high < 1e6:
+        high *= 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if entropy(shares(mid)) > wanted else (low, mid)
+    return shares(high)
+
+
+def budgets(sized: DataFrame, targets: DataFrame, size: float | None = None, tempered: bool = False) -> DataFrame:
+    """(source, natural, target_share, max_repeats, budget) per source that has both tokens and a target. tempered: shares
+    are the natural ones at the temperature that gives them the entropy of the target."""
     spark = sized.sparkSession
     per = sized.groupBy("source").agg(F.sum("n_tokens").alias("natural"), F.count("*").alias("docs"))
     wanted = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -52,6 +72,8 @@ def budgets(sized: DataFrame, targets: DataFrame, size: float | None = None) ->
     if not rows:
         return spark.createDataFrame([], "source string, natural bigint, docs bigint, target_share double, max_repeats int, budget double")
     natural, target, repeats = (np.array([r[k] for r in rows], float) for k in ("natural", "target_share", "max_repeats"))
+    if tempered:
+        target = at_entropy(natural, entropy(target))
     share, _, total = weights(natural, target, repeats, size)
     return spark.createDataFrame(
         [(r["source"], r["natural"], r["docs"], r["target_share"], r["max_repeats"], float(w * total)) for r, w in zip(rows, share)],
@@ -59,7 +81,7 @@ def budgets(sized: DataFrame, targets: DataFrame, size: float | None = None) ->
     )
 
 
-def mixture(sized: DataFrame, targets: DataFrame, size: float | None = None, seed: int = 1, block: int = BLOCK) -> DataFrame:
+def mixture(sized: DataFrame, targets: DataFrame, size: float | None = None, seed: int = 1, block: int = BLOCK, tempered: bool = False) -> DataFrame:
     """(source, doc_id, n_tokens, pass): a row for every use of a document of sized (doc_id, source, n_tokens).
 
     No document is used more often than its source's max_repeats; what a source's tokens differ from its budget is less
@@ -67,7 +89,7 @@ def mixture(sized: DataFrame, targets: DataFrame, size: float | None = None, see
     their part among the others; a document id given twice is two documents. Empty tables give an empty result.
     """
     sized = runtime.cut(sized.where("source is not null and n_tokens > 0").select("doc_id", "source", "n_tokens"))
-    plan = budgets(sized, targets, size)
+    plan = budgets(sized, targets, size, tempered)
     plan = plan.withColumn("passes", F.floor(F.col("budget") / F.col("natural") + 1e-9).cast("int")).withColumn("rest", F.col("budget") - F.col("passes") * F.col("natural"))
     plan = plan.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("docs") / block)).cast("int")).select("source", "passes", "rest", "blocks")
     docs = sized.join(plan, "source").withColumn("_block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int"))
@@ -82,9 +104,9 @@ def mixture(sized: DataFrame, targets: DataFrame, size: float | None = None, see
     return whole.unionByName(taken.select("source", "doc_id", "n_tokens", (F.col("passes") + 1).alias("pass")))
 
 
-def document_mixture(documents: DataFrame, targets: DataFrame, size: float | None = None, tokenizer: str = "byte_bpe_50k.tiktoken", folder: str = tokens.TOKENIZERS) -> DataFrame:
+def document_mixture(documents: DataFrame, targets: DataFrame, size: float | None = None, tokenizer: str = "byte_bpe_50k.tiktoken", folder: str = tokens.TOKENIZERS, tempered: bool = False) -> DataFrame:
     sized = tokens.with_tokens(documents.where("doc_id is not null and source is not null"), ["doc_id", "source"], "text", tokenizer, folder)
-    return mixture(sized, targets, size)
+    return mixture(sized, targets, size, tempered=tempered)
 
 
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -64,6 +64,10 @@ def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.document_mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), tempered=True)
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
@@ -81,7 +85,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_rates, p6_found, p6_collapsed, p7_packs, p7_fill, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_rates, p6_found, p6_collapsed, p7_packs, p7_fill, p8_mixture, p8_tempered, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
 P3 = """
