@@ -105,3 +105,18 @@ def test_a_word_in_five_answers_is_known_however_many_there_are(spark):
     rows = [(i, [common, last(i)], [2], "unclear" if i in (0, 5) else "complete") for i in range(14_000)]
     df = spark.createDataFrame(rows, "message_id long, items array<long>, ends array<int>, verdict string")
     assert {r.message_id: r.named for r in C.endings(df).collect()} == {0: False, 5: True}
+
+
+def test_defects_of_code_are_seen(spark):
+    prompts = spark.createDataFrame([(i, "Write the titles of all sessions into RESULT and keep their order please.") for i in range(6)], "request_id long, prompt string")
+    code = [(0, "RESULT = [s.title for s in sessions]"), (1, ""), (2, None), (3, " \n"), (3, " \n"), (4, "```python\n```")]
+    df = spark.createDataFrame(code, "request_id long, code string")
+    got = sorted(tuple(r) for r in D.code_defects(prompts, df).collect())
+    assert got == [(1, "empty", 0), (2, "empty", 0), (3, "empty", 0), (4, "empty", 0), (5, "missing", 0)]
+
+
+def test_defects_query_reads_the_code(spark, sf_dir):
+    from tracelode.llm import queries as Q
+
+    df = Q.p1_defects(spark, sf_dir)
+    assert "origin" in df.columns and {r.origin for r in df.select("origin").distinct().collect()} == {"answer", "code"}

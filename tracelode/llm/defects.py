@@ -213,6 +213,31 @@ def defects(prompt_messages: DataFrame, raw_messages: DataFrame, chat_requests:
     return texts.select("request_id", "kind", "text", "is_cut", "prompt").mapInPandas(_types, "request_id bigint, defect string, place int")
 
 
+def _code_types(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for rid, code, prompt in zip(b["request_id"], b["code"], b["prompt"]):
+            text = code if not code or "```" in code else f"```python\n{code}\n```"
+            rows += [(rid, t, i) for i, t in enumerate(defect_types("text", text, False, prompt))]
+        yield pd.DataFrame(rows, columns=["request_id", "defect", "place"])
+
+
+def code_defects(prompt_messages: DataFrame, code_messages: DataFrame) -> DataFrame:
+    """(request_id, defect, place) of the code taken from answers: the types of defects() but truncated, which is decided on
+    deliveries, and `missing` for a prompt without any row of code. Null and blank code is empty; equal rows count once."""
+    prompts = prompt_messages.where("request_id is not null").groupBy("request_id").agg(F.max("prompt").alias("prompt"))
+    code = code_messages.where("request_id is not null").select("request_id", "code").distinct()
+    typed = code.join(prompts, "request_id", "left").select("request_id", "code", "prompt").mapInPandas(_code_types, "request_id bigint, defect string, place int")
+    missing = prompts.join(code, "request_id", "left_anti").select("request_id", F.lit("missing").alias("defect"), F.lit(0).alias("place"))
+    return typed.distinct().unionByName(missing)
+
+
+def all_defects(prompt_messages: DataFrame, raw_messages: DataFrame, chat_requests: DataFrame, code_messages: DataFrame) -> DataFrame:
+    """(request_id, defect, place, origin): defects() with origin `answer` and code_defects() with origin `code`."""
+    answer = defects(prompt_messages, raw_messages, chat_requests).withColumn("origin", F.lit("answer"))
+    return answer.unionByName(code_defects(prompt_messages, code_messages).withColumn("origin", F.lit("code")))
+
+
 def found(prompt_messages: DataFrame, raw_messages: DataFrame, chat_requests: DataFrame) -> DataFrame:
     """(request_id, defect): the one defect of each defective request."""
     return defects(prompt_messages, raw_messages, chat_requests).where("place = 0").select("request_id", "defect").distinct()

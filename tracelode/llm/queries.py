@@ -17,7 +17,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defects.defects(*(table(spark, sf_dir, t) for t in ("prompt_messages", "raw_messages", "chat_requests")))
+    return defects.all_defects(*(table(spark, sf_dir, t) for t in ("prompt_messages", "raw_messages", "chat_requests", "code_messages")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
