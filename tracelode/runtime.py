@@ -53,17 +53,18 @@ def salt_of(*cols: str, salts: int = SALTS) -> Column:
     return F.pmod(F.hash(*[F.col(c) for c in cols]), F.lit(salts))
 
 
-def with_shared_key(df: DataFrame, keys: list[str], owner: str, salts: int = SALTS) -> DataFrame:
-    """The rows of df whose key occurs with at least two different owners.
+def with_shared_key(df: DataFrame, keys: list[str], owner: str, salts: int = SALTS, ends: bool = False) -> DataFrame:
+    """The rows of df whose key occurs with at least two different owners; ends adds the key's least and greatest owner
+    as _lo and _hi.
 
     A key may hold a third of all rows: its rows are first reduced per (key, salt), partial results are joined per key,
     and the way back goes through (key, salt) again, so no task gets all rows of one key. Null keys never match.
     """
     salted = df.withColumn("_salt", salt_of(owner, salts=salts))
     part = salted.groupBy(*keys, "_salt").agg(F.min(owner).alias("_lo"), F.max(owner).alias("_hi"))
-    whole = part.groupBy(*keys).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).where("_lo <> _hi").select(*keys)
-    marked = part.select(*keys, "_salt").join(whole, keys, "left_semi")
-    return salted.join(marked, [*keys, "_salt"], "left_semi").drop("_salt")
+    whole = part.groupBy(*keys).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).where("_lo <> _hi")
+    marked = part.select(*keys, "_salt").join(whole, keys)
+    return salted.join(marked, [*keys, "_salt"]).drop("_salt", *([] if ends else ["_lo", "_hi"]))
 
 
 def join_salted(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = 8) -> DataFrame:
