@@ -28,6 +28,10 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_report(table(spark, sf_dir, "translations"))
 
 
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.removal_clusters(table(spark, sf_dir, "translations"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardups.similar_pairs(table(spark, sf_dir, "translations"), width=3, least=0.6)
 
@@ -85,7 +89,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_report, p4_found, p4_groups, p5_found, p5_rates, p6_found, p6_collapsed, p7_packs, p7_fill, p8_mixture, p8_tempered, p8_shares, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_report, p3_clusters, p4_found, p4_groups, p5_found, p5_rates, p6_found, p6_collapsed, p7_packs, p7_fill, p8_mixture, p8_tempered, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
 P3 = """
