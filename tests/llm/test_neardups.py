@@ -71,3 +71,26 @@ def test_groups_are_components(spark):
 
 def test_empty_table(spark, rows):
     assert rows(N.similar_pairs(make(spark, []))) == [] and rows(N.near_groups(make(spark, []))) == []
+
+
+def test_long_near_copies(spark, rows):
+    words = [f"w{i}" for i in range(20_000)]
+    texts = [" ".join(words), " ".join(words[:9_000] + ["cut"] + words[9_001:]), " ".join(words[12_000:] + words[:12_000]), " ".join(words[:11_000])]
+    data = [(i, t, None) for i, t in enumerate(texts)]
+    assert rows(N.similar_pairs(make(spark, data), fields=("program",), width=3, least=0.6)) == [("program", 0, 1), ("program", 0, 2), ("program", 1, 2)]
+
+
+def test_hot_class_holds_a_third(spark, monkeypatch):
+    monkeypatch.setattr(N, "MEMBERS", 7)
+    rows = collection(40) + [(1000 + i, "one text that a third of all rows has in common", None) for i in range(20)] + [(2000, "one text that a third of all rows has in commons", None)]
+    got = N.similar_pairs(make(spark, rows), fields=("program",), width=3, least=0.6).collect()
+    assert {tuple(r) for r in got} == {x for x in brute(rows, 3, 0.6) if x[0] == "program"} and len(got) == len(set(got))
+
+
+def test_components_of_long_chains(spark):
+    from tracelode.llm.linking import components
+
+    chain = [(i, i + 1) for i in range(300)] + [(900, 901), (950, 950)]
+    random.Random(1).shuffle(chain)
+    got = {r.x: r.label for r in components(spark.createDataFrame(chain, "x long, y long")).collect()}
+    assert got == {i: 0 for i in range(301)} | {900: 900, 901: 900}

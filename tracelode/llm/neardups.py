@@ -2,10 +2,11 @@
 
 Equal word sequences are one class. A class is a sorted array of shingle hashes with a hashed bitmap signature. Under an
 order of the shingles by rarity, two sets of Jaccard similarity t or more share a shingle among their first
-n - ceil(t n) + 1: each class enters one tile per such shingle and size band, and the tile of the next lower band, as no
-partner is smaller than t times its size. Within a tile, bit counts of the signatures bound the overlap from above; pairs
-that pass meet the exact intersection of their sorted arrays. Tiles that hold more than TILE classes are cut into blocks,
-and each pair of blocks is a tile of its own: no link is lost and no task gets an unbounded group.
+n - ceil(t n) + 1. Shingles that the same classes have there are one tile: each class enters it once, in its size band and, as a
+visitor, in the next lower one, as no partner is smaller than t times its size. Within a tile, bit counts of the signatures
+bound the overlap from above; pairs that pass meet the exact intersection of their sorted arrays. Tiles that hold more than
+TILE classes are cut into blocks, and each pair of blocks is a tile of its own: no link is lost and no task gets an
+unbounded group.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 
 from tracelode import runtime
 from tracelode.llm import hashing
+from tracelode.llm.linking import components, whole_groups
 
 #: Words of a shingle and least similarity of near duplicates, where nothing else is asked for.
 SHINGLE, SIMILAR = 5, 0.8
-#: Counters of the sketch by which shingles are ordered (a bounded broadcast), words of a signature, classes of a block.
-SKETCH, SKETCH_BLOCK, SIGNATURE, TILE = 1 << 20, 1 << 14, 8, 1024
+#: Counters of the sketch by which shingles are ordered (a bounded broadcast), least and most 64-bit words of a signature,
+#: classes of a block, members of a class that one row of pairs is made of.
+SKETCH, SKETCH_BLOCK, SIGNATURE, WIDEST, TILE, MEMBERS = 1 << 20, 1 << 14, 8, 64, 1024, 512
 
 
 def _word_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,45 +87,47 @@ def _prefixes(rarity, least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = rarity.value
         for b in batches:
-            parts = []
+            fields, classes_, firsts = [], [], []
             for field, cls, n, items in zip(b["field"], b["cls"], b["n"], b["items"]):
                 if n == 0:
                     continue
                 s = np.asarray(items, np.int64)
-                size = n - math.ceil(least * n - 1e-9) + 1
                 rare = counts[s & (SKETCH - 1)]
-                first = np.lexsort((s, rare))[:size]
-                parts.append((field, cls, s[first], np.arange(len(first), dtype=np.int32)))
-            if parts:
-                lens = [len(p[2]) for p in parts]
-                yield pd.DataFrame(
-                    {"field": np.repeat([p[0] for p in parts], lens), "cls": np.repeat([p[1] for p in parts], lens), "item": np.concatenate([p[2] for p in parts]), "place": np.concatenate([p[3] for p in parts])}
-                )
+                firsts.append(s[np.lexsort((s, rare))[: n - math.ceil(least * n - 1e-9) + 1]])
+                fields.append(field)
+                classes_.append(cls)
+            if firsts:
+                lens = [len(p) for p in firsts]
+                yield pd.DataFrame({"field": np.repeat(fields, lens), "cls": np.repeat(classes_, lens), "item": np.concatenate(firsts)})
 
     return run
 
 
-def _signature(items: np.ndarray) -> np.ndarray:
-    bits = np.zeros(SIGNATURE * 64, np.uint8)
-    bits[hashing.mix(items.view(np.uint64)) % np.uint64(SIGNATURE * 64)] = 1
-    return np.packbits(bits).view(np.uint64)
+def width_of(band: int, least: float) -> int:
+    """Words of the signatures in a size band: about a quarter of the bits get set, up to WIDEST words."""
+    top = least ** -(band + 2)
+    return min(WIDEST, max(SIGNATURE, 1 << math.ceil(math.log2(max(1.0, top / 16)))))
+
+
+def _signature(items: np.ndarray, words: int) -> bytes:
+    bits = np.zeros(words * 64, np.uint8)
+    bits[hashing.mix(items.view(np.uint64)) % np.uint64(words * 64)] = 1
+    return np.packbits(bits).tobytes()
 
 
 def _entries(least: float):
-    """A row for each tile a class enters: with its signature and, of its shingles shared with others, those before the
-    tile's own."""
+    """Two rows for each tile a class enters: at home in its own size band, visiting the band below."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("field", "item", "band", "home", "cls", "n", "sig", "before")}
-            for field, cls, n, items, firsts in zip(b["field"], b["cls"], b["n"], b["items"], b["firsts"]):
-                sig = _signature(np.asarray(items, np.int64)).tobytes()
-                order = [x["item"] for x in sorted(firsts, key=lambda x: x["place"])]
-                before = np.array(order, np.int64)
-                band = int(math.log(n) / -math.log(least) + 1e-9)
-                for i, item in enumerate(order):
-                    for home in (True, False):
-                        for k, v in zip(out, (field, item, band if home else band - 1, home, cls, n, sig, before[:i].tobytes())):
+            out: dict[str, list] = {k: [] for k in ("field", "t1", "t2", "band", "home", "cls", "n", "sig")}
+            for field, cls, n, items, tiles in zip(b["field"], b["cls"], b["n"], b["items"], b["tiles"]):
+                s = np.asarray(items, np.int64)
+                own = int(math.log(n) / -math.log(least) + 1e-9)
+                for band in (own, own - 1):
+                    sig = _signature(s, width_of(band, least))
+                    for t in tiles:
+                        for k, v in zip(out, (field, t["t1"], t["t2"], band, band == own, cls, n, sig)):
                             out[k].append(v)
             yield pd.DataFrame(out)
 
@@ -131,71 +136,62 @@ def _entries(least: float):
 
 def _compare(least: float):
     """Candidate pairs within tiles. Rows arrive sorted by tile; a tile has at most two blocks."""
-
-    def tiles(batches):
-        rest = None
-        for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            last = (b[["field", "item", "band", "b1", "b2"]] != b[["field", "item", "band", "b1", "b2"]].iloc[-1]).any(axis=1).to_numpy()
-            whole = len(b) if not last.any() else int(np.flatnonzero(last)[-1]) + 1
-            if not last.any():
-                rest = b
-                continue
-            yield b.iloc[:whole]
-            rest = b.iloc[whole:]
-        if rest is not None and len(rest):
-            yield rest
+    keys = ["band", "field", "t1", "t2", "b1", "b2"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in tiles(batches):
-            keys = b[["field", "item", "band", "b1", "b2"]]
-            starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+        for b in whole_groups(batches, keys):
+            new = np.zeros(len(b), bool)
+            for k in keys:
+                v = b[k].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            starts = np.concatenate([[0], np.flatnonzero(new)])
             ends = np.append(starts[1:], len(b))
             cls, n, home, block = b["cls"].to_numpy(), b["n"].to_numpy(), b["home"].to_numpy(bool), b["block"].to_numpy()
-            b1, b2 = b["b1"].to_numpy(), b["b2"].to_numpy()
-            sig = np.frombuffer(b"".join(b["sig"]), np.uint64).reshape(-1, SIGNATURE)
-            before = b["before"].to_numpy()
-            field = b["field"].to_numpy()
-            found: list[tuple] = []
-            seen: dict[int, frozenset] = {}
+            two = b["b1"].to_numpy() != b["b2"].to_numpy()
+            field, sig = b["field"].to_numpy(), b["sig"].to_numpy()
+            found: list[pd.DataFrame] = []
             for s, e in zip(starts, ends):
-                if e - s < 2:
+                if e - s < 2 or not home[s:e].any():
                     continue
-                for i in range(s, e):
-                    if not home[i]:
-                        continue
+                bits = np.frombuffer(b"".join(sig[s:e]), np.uint64).reshape(e - s, -1)
+                for i in np.flatnonzero(home[s:e]):
                     # partners: in the same band each pair once, and the visitors from the band above
-                    j = np.arange(s, e)
-                    j = j[np.where(home[s:e], cls[s:e] > cls[i], cls[s:e] != cls[i])]
-                    if b1[i] != b2[i]:
-                        j = j[block[j] != block[i]]
-                    need = least / (1 + least) * (n[i] + n[j]) - 1e-9
-                    ok = np.minimum(n[i], n[j]) >= need
-                    ok &= (n[i] + n[j] - np.bitwise_count(sig[j] ^ sig[i]).sum(axis=1, dtype=np.int64)) / 2 >= need
-                    for x in j[ok]:
-                        for y in (i, x):
-                            if y not in seen:
-                                seen[y] = frozenset(np.frombuffer(before[y], np.int64).tolist())
-                        if seen[i].isdisjoint(seen[x]):
-                            found.append((field[i], min(cls[i], cls[x]), max(cls[i], cls[x])))
+                    j = np.flatnonzero(np.where(home[s:e], cls[s:e] > cls[s + i], cls[s:e] != cls[s + i]))
+                    if two[s]:
+                        j = j[block[s + j] != block[s + i]]
+                    need = least / (1 + least) * (n[s + i] + n[s + j]) - 1e-9
+                    j, need = (x[np.minimum(n[s + i], n[s + j]) >= need] for x in (j, need))
+                    most = (n[s + i] + n[s + j] - np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)) / 2
+                    x = cls[s + j[most >= need]]
+                    if len(x):
+                        found.append(pd.DataFrame({"field": field[s], "a": np.minimum(x, cls[s + i]), "b": np.maximum(x, cls[s + i])}))
             if found:
-                yield pd.DataFrame(found, columns=["field", "a", "b"])
+                yield pd.concat(found).drop_duplicates()
 
     return run
 
 
+def tiles_of(sets: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(field, cls, tiles): shingles that the same two or more classes have among their first ones are one tile, named by a
+    128-bit hash of these classes. An item may be that of a third of all classes: see with_shared_key."""
+    key = ["field", "item"]
+    salted = firsts.withColumn("_salt", runtime.salt_of("cls"))
+    name = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"t{k}") for k in (1, 2)]
+    part = salted.groupBy(*key, "_salt").agg(F.count("*").alias("c"), *name)
+    whole = part.groupBy(*key).agg(F.sum("c").alias("c"), F.bit_xor("t1").alias("t1"), F.bit_xor("t2").alias("t2")).where("c > 1").drop("c")
+    marked = part.select(*key, "_salt").join(whole, key)
+    return salted.join(marked, [*key, "_salt"]).groupBy("field", "cls").agg(F.collect_set(F.struct("t1", "t2")).alias("tiles"))
+
+
 def links(sets: DataFrame, least: float) -> DataFrame:
     """(field, a, b, similarity) of different classes that are similar by least or more."""
     spark = sets.sparkSession
     rarity = spark.sparkContext.broadcast(_rarity(sets))
-    firsts = runtime.cut(sets.mapInPandas(_prefixes(rarity, least), "field string, cls bigint, item bigint, place int"))
-    shared = runtime.with_shared_key(firsts, ["field", "item"], "cls")
-    listed = shared.groupBy("field", "cls").agg(F.collect_list(F.struct("item", "place")).alias("firsts"))
-    entries = sets.join(listed, ["field", "cls"]).mapInPandas(
-        _entries(least), "field string, item bigint, band int, home boolean, cls bigint, n int, sig binary, before binary"
-    )
+    firsts = runtime.cut(sets.mapInPandas(_prefixes(rarity, least), "field string, cls bigint, item bigint"))
+    listed = tiles_of(sets, firsts)
+    entries = sets.join(listed, ["field", "cls"]).mapInPandas(_entries(least), "field string, t1 bigint, t2 bigint, band int, home boolean, cls bigint, n int, sig binary")
     entries = runtime.cut(entries.withColumn("_salt", runtime.salt_of("cls")))
-    key = ["field", "item", "band"]
+    key = ["field", "t1", "t2", "band"]
     part = entries.groupBy(*key, "_salt").agg(F.count("*").alias("c"), F.max(F.col("home").cast("int")).alias("h"))
     full = part.groupBy(*key).agg(F.sum("c").alias("c"), F.max("h").alias("h")).where("c > 1 and h = 1").select(*key, F.ceil(F.col("c") / TILE).cast("int").alias("blocks"))
     sized = entries.join(part.select(*key, "_salt").join(full, key), [*key, "_salt"])
@@ -203,8 +199,9 @@ def links(sets: DataFrame, least: float) -> DataFrame:
     pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("b1"), F.lit(0).alias("b2")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("b1"), F.greatest(x, F.col("block")).alias("b2")))
     )
-    placed = sized.withColumn("block", block).withColumn("p", F.explode(pairs)).select(*key, F.col("p.b1").alias("b1"), F.col("p.b2").alias("b2"), "block", "home", "cls", "n", "sig", "before")
-    tiles = placed.repartition(*key, "b1", "b2").sortWithinPartitions(*key, "b1", "b2")
+    placed = sized.withColumn("block", block).withColumn("p", F.explode(pairs)).select(*key, F.col("p.b1").alias("b1"), F.col("p.b2").alias("b2"), "block", "home", "cls", "n", "sig")
+    # sorted by band first, as all signatures of a band are equally wide
+    tiles = placed.repartition(*key, "b1", "b2").sortWithinPartitions("band", "field", "t1", "t2", "b1", "b2")
     near = tiles.mapInPandas(_compare(least), "field string, a bigint, b bigint").distinct()
     left = sets.select("field", F.col("cls").alias("a"), F.col("items").alias("items_a"))
     right = sets.select("field", F.col("cls").alias("b"), F.col("items").alias("items_b"))
@@ -229,13 +226,17 @@ def similar_pairs(df: DataFrame, id_col: str = "program_id", fields: tuple[str,
     repeated rows count once; copies are similar by 1. An empty table gives an empty result.
     """
     members, sets = classes(_texts(df, id_col, list(fields)), width)
-    linked = links(sets, least).select("field", "a", "b").unionByName(sets.where("n > 0").select("field", F.col("cls").alias("a"), F.col("cls").alias("b")))
-    first = members.select("field", F.col("cls").alias("a"), F.col("id").alias("x"))
-    second = members.select("field", F.col("cls").alias("b"), F.col("id").alias("y"))
+    sizes = members.groupBy("field", "cls").agg(F.count("*").alias("c"))
     # most classes have one member and no link: those can't give a pair
-    several = members.groupBy("field", "cls").agg(F.count("*").alias("c")).where("c > 1").select("field", F.col("cls").alias("a"))
-    own = linked.where("a = b").join(several, ["field", "a"], "left_semi")
-    met = linked.where("a <> b").unionByName(own).join(first, ["field", "a"]).join(second, ["field", "b"])
+    own = sets.where("n > 0").join(sizes.where("c > 1"), ["field", "cls"], "left_semi").select("field", F.col("cls").alias("a"), F.col("cls").alias("b"))
+    linked = links(sets, least).select("field", "a", "b").unionByName(own)
+    # a class may hold a third of all ids: its members come in groups of about MEMBERS, and each two groups meet for themselves
+    for end in "ab":
+        groups = sizes.select("field", F.col("cls").alias(end), F.ceil(F.col("c") / MEMBERS).cast("int").alias("_groups"))
+        linked = linked.join(groups, ["field", end]).withColumn(f"g{end}", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_groups")
+    placed = runtime.join_salted(members, sizes, ["field", "cls"], "inner").withColumn("g", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / MEMBERS)).cast("int"))
+    first, second = (placed.select("field", F.col("cls").alias(end), F.col("g").alias(f"g{end}"), F.col("id").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    met = linked.join(first, ["field", "a", "ga"]).join(second, ["field", "b", "gb"])
     ordered = met.where("x <> y and (a <> b or x < y)").select(F.col("field").alias("field_name"), F.least("x", "y").alias("first_id"), F.greatest("x", "y").alias("second_id"))
     return ordered.distinct()
 
@@ -247,22 +248,11 @@ def near_groups(df: DataFrame, id_col: str = "program_id", fields: tuple[str, ..
     linked = links(sets, least)
     reps = members.groupBy("field", "cls").agg(F.min("id").alias("class_id"))
     both = linked.select("field", "a", "b").unionByName(linked.select("field", F.col("b").alias("a"), F.col("a").alias("b")))
-    ends = both.join(reps.select("field", F.col("cls").alias("a"), F.col("class_id").alias("ra")), ["field", "a"]).join(reps.select("field", F.col("cls").alias("b"), F.col("class_id").alias("rb")), ["field", "b"])
-    ends = runtime.cut(ends.select("field", "a", "b", "ra", "rb"))
-    label = components(ends.select("field", F.col("a").alias("x"), F.col("b").alias("y"), F.col("ra").alias("label")))
+    label = components(linked.select("field", F.col("a").alias("x"), F.col("b").alias("y")), ["field"])
+    grouped = label.withColumnRenamed("x", "cls").join(reps, ["field", "cls"])
+    first = grouped.groupBy("field", "label").agg(F.min("class_id").alias("group_id"))
+    placed = runtime.join_salted(grouped.select("field", "cls", "label"), first, ["field", "label"], "inner").select("field", "cls", "group_id")
     degree = both.groupBy("field", F.col("a").alias("cls")).agg(F.count("*").alias("links"))
-    out = members.join(reps, ["field", "cls"]).join(degree, ["field", "cls"], "left").join(label.withColumnRenamed("x", "cls"), ["field", "cls"], "left")
-    return out.select(F.col("field").alias("field_name"), "id", "class_id", F.coalesce("label", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(field, x, label): the least label within each connected component of edges (field, x, y, label of x), given in
-    both directions. Labels spread along edges in rounds; each round cuts its lineage, and only a count reaches the
-    driver."""
-    nodes = runtime.cut(edges.select("field", "x", "label").distinct())
-    while True:
-        told = edges.select("field", "x", "y").join(nodes, ["field", "x"]).groupBy("field", F.col("y").alias("x")).agg(F.min("label").alias("heard"))
-        spread = runtime.cut(nodes.join(told, ["field", "x"], "left").select("field", "x", F.least("label", F.coalesce("heard", "label")).alias("label"), (F.col("heard") < F.col("label")).alias("moved")))
-        nodes = spread.select("field", "x", "label")
-        if spread.where("moved").isEmpty():
-            return nodes
+    told = reps.join(degree, ["field", "cls"], "left").join(placed, ["field", "cls"], "left")
+    out = runtime.join_salted(members, told, ["field", "cls"], "inner")
+    return out.select(F.col("field").alias("field_name"), "id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

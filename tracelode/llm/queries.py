@@ -40,6 +40,11 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardups.near_groups(table(spark, sf_dir, "translations"))
 
 
+def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of p4_found: three words and 0.6, one row per document."""
+    return neardups.near_groups(table(spark, sf_dir, "translations"), width=3, least=0.6)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoffs.cut_answers(table(spark, sf_dir, "raw_messages"), table(spark, sf_dir, "chat_requests"))
 
@@ -89,7 +94,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_report, p3_clusters, p4_found, p4_groups, p5_found, p5_rates, p6_found, p6_collapsed, p7_packs, p7_fill, p8_mixture, p8_tempered, p8_shares, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_report, p3_clusters, p4_found, p4_groups, p4_members, p5_found, p5_rates, p6_found, p6_collapsed, p7_packs, p7_fill, p8_mixture, p8_tempered, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
 P3 = """
