@@ -43,20 +43,22 @@ def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = hashing.WordHasher()
         for b in batches:
-            sets = [hashing.shingles(hashing.words(t), hasher, width) for t in b["text"]]
-            yield pd.DataFrame({"field": b["field"], "cls": b["cls"], "n": [len(s) for s in sets], "items": sets})
+            # shingles of different fields are never the same
+            of = {f: np.int64(xxhash.xxh3_64_intdigest(f) >> 1) for f in b["field"].unique()}
+            sets = [np.sort(hashing.shingles(hashing.words(t), hasher, width) ^ of[f]) for f, t in zip(b["field"], b["text"])]
+            yield pd.DataFrame({"cls": b["cls"], "n": [len(s) for s in sets], "items": sets})
 
     return run
 
 
 def classes(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Of (field, id, text) rows: (field, id, cls) for every id, and (field, cls, n, items) per class. cls is the
-    smallest id with that sequence of words, made unique by the field."""
+    """Of (field, id, text) rows: (field, id, cls) for every id, and (cls, n, items) per class. cls stands for a field and
+    a sequence of words."""
     keyed = texts.mapInPandas(_word_key, "field string, id bigint, k1 bigint, k2 bigint, text string")
     least = keyed.groupBy("field", "k1", "k2").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id"))
-    least = runtime.cut(least.select("field", F.xxhash64("field", "k1", "k2").alias("cls"), "text"))
+    least = least.select("field", F.xxhash64("field", "k1", "k2").alias("cls"), "text")
     members = keyed.select("field", "id", F.xxhash64("field", "k1", "k2").alias("cls")).distinct()
-    return runtime.cut(members), runtime.cut(least.select("field", "cls", "text").mapInPandas(_sets(width), "field string, cls bigint, n int, items array<bigint>"))
+    return runtime.cut(members), runtime.cut(least.mapInPandas(_sets(width), "cls bigint, n int, items array<bigint>"))
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,18 +89,17 @@ def _prefixes(rarity, least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = rarity.value
         for b in batches:
-            fields, classes_, firsts = [], [], []
-            for field, cls, n, items in zip(b["field"], b["cls"], b["n"], b["items"]):
+            classes_, firsts = [], []
+            for cls, n, items in zip(b["cls"], b["n"], b["items"]):
                 if n == 0:
                     continue
                 s = np.asarray(items, np.int64)
                 rare = counts[s & (SKETCH - 1)]
                 firsts.append(s[np.lexsort((s, rare))[: n - math.ceil(least * n - 1e-9) + 1]])
-                fields.append(field)
                 classes_.append(cls)
             if firsts:
                 lens = [len(p) for p in firsts]
-                yield pd.DataFrame({"field": np.repeat(fields, lens), "cls": np.repeat(classes_, lens), "item": np.concatenate(firsts)})
+                yield pd.DataFrame({"cls": np.repeat(classes_, lens), "item": np.concatenate(firsts)})
 
     return run
 
@@ -120,14 +121,14 @@ def _entries(least: float):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("field", "t1", "t2", "band", "home", "cls", "n", "sig")}
-            for field, cls, n, items, tiles in zip(b["field"], b["cls"], b["n"], b["items"], b["tiles"]):
+            out: dict[str, list] = {k: [] for k in ("t1", "t2", "band", "home", "cls", "n", "sig")}
+            for cls, n, items, tiles in zip(b["cls"], b["n"], b["items"], b["tiles"]):
                 s = np.asarray(items, np.int64)
                 own = int(math.log(n) / -math.log(least) + 1e-9)
                 for band in (own, own - 1):
                     sig = _signature(s, width_of(band, least))
                     for t in tiles:
-                        for k, v in zip(out, (field, t["t1"], t["t2"], band, band == own, cls, n, sig)):
+                        for k, v in zip(out, (t["t1"], t["t2"], band, band == own, cls, n, sig)):
                             out[k].append(v)
             yield pd.DataFrame(out)
 
@@ -136,7 +137,7 @@ def _entries(least: float):
 
 def _compare(least: float):
     """Candidate pairs within tiles. Rows arrive sorted by tile; a tile has at most two blocks."""
-    keys = ["band", "field", "t1", "t2", "b1", "b2"]
+    keys = ["band", "t1", "t2", "b1", "b2"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in whole_groups(batches, keys):
@@ -148,7 +149,7 @@ def _compare(least: float):
             ends = np.append(starts[1:], len(b))
             cls, n, home, block = b["cls"].to_numpy(), b["n"].to_numpy(), b["home"].to_numpy(bool), b["block"].to_numpy()
             two = b["b1"].to_numpy() != b["b2"].to_numpy()
-            field, sig = b["field"].to_numpy(), b["sig"].to_numpy()
+            sig = b["sig"].to_numpy()
             found: list[pd.DataFrame] = []
             for s, e in zip(starts, ends):
                 if e - s < 2 or not home[s:e].any():
@@ -164,7 +165,7 @@ def _compare(least: float):
                     most = (n[s + i] + n[s + j] - np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)) / 2
                     x = cls[s + j[most >= need]]
                     if len(x):
-                        found.append(pd.DataFrame({"field": field[s], "a": np.minimum(x, cls[s + i]), "b": np.maximum(x, cls[s + i])}))
+                        found.append(pd.DataFrame({"a": np.minimum(x, cls[s + i]), "b": np.maximum(x, cls[s + i])}))
             if found:
                 yield pd.concat(found).drop_duplicates()
 
@@ -172,26 +173,26 @@ def _compare(least: float):
 
 
 def tiles_of(sets: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(field, cls, tiles): shingles that the same two or more classes have among their first ones are one tile, named by a
+    """(cls, tiles): shingles that the same two or more classes have among their first ones are one tile, named by a
     128-bit hash of these classes. An item may be that of a third of all classes: see with_shared_key."""
-    key = ["field", "item"]
+    key = ["item"]
     salted = firsts.withColumn("_salt", runtime.salt_of("cls"))
     name = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"t{k}") for k in (1, 2)]
     part = salted.groupBy(*key, "_salt").agg(F.count("*").alias("c"), *name)
     whole = part.groupBy(*key).agg(F.sum("c").alias("c"), F.bit_xor("t1").alias("t1"), F.bit_xor("t2").alias("t2")).where("c > 1").drop("c")
     marked = part.select(*key, "_salt").join(whole, key)
-    return salted.join(marked, [*key, "_salt"]).groupBy("field", "cls").agg(F.collect_set(F.struct("t1", "t2")).alias("tiles"))
+    return salted.join(marked, [*key, "_salt"]).groupBy("cls").agg(F.collect_set(F.struct("t1", "t2")).alias("tiles"))
 
 
 def links(sets: DataFrame, least: float) -> DataFrame:
-    """(field, a, b, similarity) of different classes that are similar by least or more."""
+    """(a, b, similarity) of different classes that are similar by least or more."""
     spark = sets.sparkSession
     rarity = spark.sparkContext.broadcast(_rarity(sets))
-    firsts = runtime.cut(sets.mapInPandas(_prefixes(rarity, least), "field string, cls bigint, item bigint"))
+    firsts = runtime.cut(sets.mapInPandas(_prefixes(rarity, least), "cls bigint, item bigint"))
     listed = tiles_of(sets, firsts)
-    entries = sets.join(listed, ["field", "cls"]).mapInPandas(_entries(least), "field string, t1 bigint, t2 bigint, band int, home boolean, cls bigint, n int, sig binary")
+    entries = sets.join(listed, "cls").mapInPandas(_entries(least), "t1 bigint, t2 bigint, band int, home boolean, cls bigint, n int, sig binary")
     entries = runtime.cut(entries.withColumn("_salt", runtime.salt_of("cls")))
-    key = ["field", "t1", "t2", "band"]
+    key = ["t1", "t2", "band"]
     part = entries.groupBy(*key, "_salt").agg(F.count("*").alias("c"), F.max(F.col("home").cast("int")).alias("h"))
     full = part.groupBy(*key).agg(F.sum("c").alias("c"), F.max("h").alias("h")).where("c > 1 and h = 1").select(*key, F.ceil(F.col("c") / TILE).cast("int").alias("blocks"))
     sized = entries.join(part.select(*key, "_salt").join(full, key), [*key, "_salt"])
@@ -201,14 +202,14 @@ def links(sets: DataFrame, least: float) -> DataFrame:
     )
     placed = sized.withColumn("block", block).withColumn("p", F.explode(pairs)).select(*key, F.col("p.b1").alias("b1"), F.col("p.b2").alias("b2"), "block", "home", "cls", "n", "sig")
     # sorted by band first, as all signatures of a band are equally wide
-    tiles = placed.repartition(*key, "b1", "b2").sortWithinPartitions("band", "field", "t1", "t2", "b1", "b2")
-    near = tiles.mapInPandas(_compare(least), "field string, a bigint, b bigint").distinct()
-    left = sets.select("field", F.col("cls").alias("a"), F.col("items").alias("items_a"))
-    right = sets.select("field", F.col("cls").alias("b"), F.col("items").alias("items_b"))
-    met = near.join(left, ["field", "a"]).join(right, ["field", "b"])
+    tiles = placed.repartition(*key, "b1", "b2").sortWithinPartitions("band", "t1", "t2", "b1", "b2")
+    near = tiles.mapInPandas(_compare(least), "a bigint, b bigint").distinct()
+    left = sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a"))
+    right = sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b"))
+    met = near.join(left, "a").join(right, "b")
     both = F.size(F.array_intersect("items_a", "items_b"))
     score = both / (F.size("items_a") + F.size("items_b") - both)
-    return runtime.cut(met.select("field", "a", "b", score.alias("similarity")).where(F.col("similarity") >= least))
+    return runtime.cut(met.select("a", "b", score.alias("similarity")).where(F.col("similarity") >= least))
 
 
 def _texts(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
@@ -226,17 +227,18 @@ def similar_pairs(df: DataFrame, id_col: str = "program_id", fields: tuple[str,
     repeated rows count once; copies are similar by 1. An empty table gives an empty result.
     """
     members, sets = classes(_texts(df, id_col, list(fields)), width)
-    sizes = members.groupBy("field", "cls").agg(F.count("*").alias("c"))
+    sizes = members.groupBy("cls").agg(F.count("*").alias("c"))
     # most classes have one member and no link: those can't give a pair
-    own = sets.where("n > 0").join(sizes.where("c > 1"), ["field", "cls"], "left_semi").select("field", F.col("cls").alias("a"), F.col("cls").alias("b"))
-    linked = links(sets, least).select("field", "a", "b").unionByName(own)
+    own = sets.where("n > 0").join(sizes.where("c > 1"), "cls", "left_semi").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    linked = links(sets, least).select("a", "b").unionByName(own)
     # a class may hold a third of all ids: its members come in groups of about MEMBERS, and each two groups meet for themselves
     for end in "ab":
-        groups = sizes.select("field", F.col("cls").alias(end), F.ceil(F.col("c") / MEMBERS).cast("int").alias("_groups"))
-        linked = linked.join(groups, ["field", end]).withColumn(f"g{end}", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_groups")
-    placed = runtime.join_salted(members, sizes, ["field", "cls"], "inner").withColumn("g", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / MEMBERS)).cast("int"))
-    first, second = (placed.select("field", F.col("cls").alias(end), F.col("g").alias(f"g{end}"), F.col("id").alias(name)) for end, name in (("a", "x"), ("b", "y")))
-    met = linked.join(first, ["field", "a", "ga"]).join(second, ["field", "b", "gb"])
+        groups = sizes.select(F.col("cls").alias(end), F.ceil(F.col("c") / MEMBERS).cast("int").alias("_groups"))
+        linked = linked.join(groups, end).withColumn(f"g{end}", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_groups")
+    placed = runtime.join_salted(members, sizes, ["cls"], "inner").withColumn("g", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / MEMBERS)).cast("int"))
+    first = placed.select("field", F.col("cls").alias("a"), F.col("g").alias("ga"), F.col("id").alias("x"))
+    second = placed.select(F.col("cls").alias("b"), F.col("g").alias("gb"), F.col("id").alias("y"))
+    met = linked.join(first, ["a", "ga"]).join(second, ["b", "gb"])
     ordered = met.where("x <> y and (a <> b or x < y)").select(F.col("field").alias("field_name"), F.least("x", "y").alias("first_id"), F.greatest("x", "y").alias("second_id"))
     return ordered.distinct()
 
@@ -246,13 +248,13 @@ def near_groups(df: DataFrame, id_col: str = "program_id", fields: tuple[str, ..
     class, the smallest id that chains of similar texts lead to, and the number of other classes its class is linked to."""
     members, sets = classes(_texts(df, id_col, list(fields)), width)
     linked = links(sets, least)
-    reps = members.groupBy("field", "cls").agg(F.min("id").alias("class_id"))
-    both = linked.select("field", "a", "b").unionByName(linked.select("field", F.col("b").alias("a"), F.col("a").alias("b")))
-    label = components(linked.select("field", F.col("a").alias("x"), F.col("b").alias("y")), ["field"])
-    grouped = label.withColumnRenamed("x", "cls").join(reps, ["field", "cls"])
-    first = grouped.groupBy("field", "label").agg(F.min("class_id").alias("group_id"))
-    placed = runtime.join_salted(grouped.select("field", "cls", "label"), first, ["field", "label"], "inner").select("field", "cls", "group_id")
-    degree = both.groupBy("field", F.col("a").alias("cls")).agg(F.count("*").alias("links"))
-    told = reps.join(degree, ["field", "cls"], "left").join(placed, ["field", "cls"], "left")
-    out = runtime.join_salted(members, told, ["field", "cls"], "inner")
+    reps = members.groupBy("cls").agg(F.min("id").alias("class_id"))
+    both = linked.select("a", "b").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = components(linked.select(F.col("a").alias("x"), F.col("b").alias("y")))
+    grouped = label.withColumnRenamed("x", "cls").join(reps, "cls")
+    first = grouped.groupBy("label").agg(F.min("class_id").alias("group_id"))
+    placed = runtime.join_salted(grouped.select("cls", "label"), first, ["label"], "inner").select("cls", "group_id")
+    degree = both.groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("links"))
+    told = reps.join(degree, "cls", "left").join(placed, "cls", "left")
+    out = runtime.join_salted(members, told, ["cls"], "inner")
     return out.select(F.col("field").alias("field_name"), "id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
