@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,20 +36,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder named by spark.checkpoint.dir, so that later steps neither repeat its work
-    nor depend on executors that hold it. Where the setting is absent in local mode (tests) a temporary folder takes its
-    place; on a cluster its absence is an error, as a machine's own folder can't be shared."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share: that of the session, else the one spark.checkpoint.dir names. Where
+    neither is set in local mode (tests) a temporary folder takes its place; on a cluster that is an error, as a machine's
+    own folder can't be shared."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not shared and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracelode-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder, so that later steps neither repeat its work nor depend on executors that hold it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df as a table in the shared folder, a folder per value of by, so that a filter on by reads no other files."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def salt_of(*cols: str, salts: int = SALTS) -> Column:
     return F.pmod(F.hash(*[F.col(c) for c in cols]), F.lit(salts))
 
