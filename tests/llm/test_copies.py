@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tracelode.llm import copies as C
 
 SCHEMA = "session_row long, source string, type string, data string, h1 string, row string, _salt string"
@@ -34,13 +36,8 @@ def test_equal_records(spark, rows):
     assert rows(C.copies(make(spark, ROWS))) == sorted([(3, 5), (3, 8), (3, 9), (20, 21), (25, 26)], key=str)
 
 
-def test_collapsed_counts_all_readable_rows(spark):
-    got = {r.kept_row: r.copies for r in C.collapsed(make(spark, ROWS)).collect()}
-    assert got == {3: 4, 4: 1, 6: 1, 7: 1, 20: 2, 22: 1, 23: 1, 24: 1, 25: 2}
-
-
 def test_empty_table(spark, rows):
-    assert rows(C.copies(make(spark, []))) == [] and rows(C.collapsed(make(spark, []))) == []
+    assert rows(C.copies(make(spark, []))) == [] and rows(C.records(make(spark, []))) == []
 
 
 def test_hot_key_holds_a_third(spark):
@@ -49,11 +46,21 @@ def test_hot_key_holds_a_third(spark):
     assert sorted((r.kept_row, r.copy_row) for r in got) == [(0, i) for i in range(3, 3000, 3)]
 
 
-def test_filter_never_loses_a_repeat(spark, monkeypatch):
-    monkeypatch.setattr(C, "MAX_SHARDS", 1)
-    monkeypatch.setattr(C, "BITS_PER_ROW", 1)
-    data = [(i, "s", "t", '{"n": %d}' % (i // 2)) for i in range(400)]
-    assert C.copies(make(spark, data)).count() == 200
+def test_filters_in_slices_lose_no_repeat(spark, monkeypatch):
+    monkeypatch.setattr(C, "SHARD_BITS", 10)
+    monkeypatch.setattr(C, "MAX_SHARDS", 2)
+    data = [(i, "s", "t", '{"n": %d}' % (i // 2 if i < 200 else i)) for i in range(600)] + [(900, None, "t", "{}")]
+    assert {tuple(r) for r in C.copies(make(spark, data)).collect()} == {(i, i + 1) for i in range(0, 200, 2)}
+    got = {r.kept_row: r.copies for r in C.records(make(spark, data)).collect()}
+    assert got == {i: 2 for i in range(0, 200, 2)} | {i: 1 for i in range(200, 600)} | {900: 1}
+
+
+def test_filter_holds_singletons_back(spark):
+    n = 200_000
+    rows = spark.range(n).select(F.col("id").alias("row"), F.xxhash64(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(F.col("id") % 999)).alias("h1")).withColumn("h2", F.xxhash64("h1"))
+    got = C.with_filter(rows, n)
+    once = got.where("row % 3 > 0")
+    assert got.where("row % 3 = 0 and not maybe").isEmpty() and once.where("maybe").count() < 0.02 * once.count()
 
 
 def test_numbers_by_value():
