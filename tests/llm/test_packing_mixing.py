@@ -84,3 +84,13 @@ def test_temperature_reaches_the_entropy(spark):
     targets = spark.createDataFrame([("small", 0.6, 3), ("big", 0.4, 2)], "source string, target_share double, max_repeats int")
     shares = {r.source: r.actual_share for r in M.share_report(M.mixture(df, targets, block=50, tempered=True), targets).collect()}
     assert abs(shares["big"] - 0.6) < 0.002 and abs(shares["small"] - 0.4) < 0.002
+
+
+def test_limits_bind(spark):
+    df = spark.createDataFrame([(i, "big" if i % 5 else "small", 10) for i in range(3000)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("small", 0.6, 3), ("big", 0.4, 2)], "source string, target_share double, max_repeats int")
+    plan = {r.source: r for r in M.budgets(df, targets, reach=0.5).collect()}
+    assert 0 < plan["small"].exponent < 1 and abs(plan["small"].budget / plan["small"].natural - 3) < 1e-3
+    uses = M.mixture(df, targets, block=50, reach=0.5).groupBy("source", "doc_id").count().groupBy("source").agg({"count": "max"})
+    assert {r[0]: r[1] for r in uses.collect()} == {"small": 3, "big": 2}
+    assert M.budgets(df, targets, reach=0.0).first().exponent == 1

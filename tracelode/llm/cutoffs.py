@@ -269,9 +269,14 @@ def _density(x: Column) -> Column:
 
 
 def _survival(x: Column) -> Column:
-    """Upper tail of the lognormal; the logistic function in place of the normal one, within 0.01."""
+    """Upper tail of the lognormal: the normal tail by the five-term rational approximation of Abramowitz and Stegun 26.2.17,
+    whose error is below 1e-7, with Mills' ratio beyond 4 deviations, where only the ratio of tail and density counts."""
     z = (F.log(x) - F.col("mu")) / F.col("sd")
-    return 1 / (1 + F.exp(1.702 * z))
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    bell = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    near = bell * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = F.when(F.abs(z) > 4, bell * F.abs(z) / (z * z + 1)).otherwise(near)
+    return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
 def judged(rows: DataFrame) -> DataFrame:

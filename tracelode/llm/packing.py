@@ -82,12 +82,11 @@ def packed(items: DataFrame, packs: DataFrame, block: int = BLOCK) -> DataFrame:
     sized = runtime.cut(items.where("size > 0").select(F.col("id").cast("bigint").alias("id"), F.col("size").cast("bigint").alias("size")))
     blocks = max(1, round(sized.count() / block))
     kinds = packs.where("capacity_tokens > 0 and pack_name is not null").select("pack_name", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
-    # a container kind is one row: each item meets each of the few kinds
-    each = kinds.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     # by id and place, as one id may be that of a third of all items
     placed = sized.withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / F.col("capacity")) - 1))
-    cutup = placed.join(each, "block").withColumn("part", parts).withColumn("offset", F.col("part") * F.col("capacity"))
+    # the kinds are rows of a fixed table, each of which every item meets; blocks take no part in this join
+    cutup = placed.join(F.broadcast(kinds)).withColumn("part", parts).withColumn("offset", F.col("part") * F.col("capacity"))
     cutup = cutup.select("pack_name", "capacity", "block", "id", "part", "offset", F.least("capacity", F.col("size") - F.col("offset")).alias("size"))
     schema = "pack_name string, capacity bigint, block int, bin bigint, id bigint, part bigint, offset bigint, size bigint"
     out = cutup.groupBy("pack_name", "block").applyInPandas(_pack_block, schema)

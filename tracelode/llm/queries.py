@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tracelode.llm import abuse, copies, cutoffs, defects, mixing, neardups, packing, spans
 from tracelode.runtime import table
 
+#: How far p8_limited goes beyond the largest size at which the target can be met, see mixing.reached.
+REACH = 0.5
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -77,6 +80,15 @@ def p8_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.document_mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), tempered=True)
 
 
+def p8_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A size at which repetition limits bind, so that the exponent is bisected; p8_plan tells it."""
+    return mixing.document_mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), reach=REACH)
+
+
+def p8_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_plan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), REACH)
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
@@ -94,7 +106,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_report, p3_clusters, p4_found, p4_groups, p4_members, p5_found, p5_rates, p6_found, p6_collapsed, p7_packs, p7_fill, p8_mixture, p8_tempered, p8_shares, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_report, p3_clusters, p4_found, p4_groups, p4_members, p5_found, p5_rates, p6_found, p6_collapsed, p7_packs, p7_fill, p8_mixture, p8_tempered, p8_limited, p8_plan, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
 P3 = """
