@@ -20,13 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled documents, and most characters of one text, that are fetched for training; scoring has no such bounds.
-LABELLED, TRAINING_CHARS = 12_000, 20_000
+#: Most labelled documents that are fetched for training, with their whole texts, and most words that have an embedding of their
+#: own; the others are known by their trigrams. Scoring has no such bounds.
+LABELLED, VOCABULARY = 12_000, 8_000
 WINDOW, STRIDE = 24, 12
 D_WORD, D_CHAR, HIDDEN, ATTENTION, TRIGRAMS = 24, 24, 24, 24, 1 << 12
 EPOCHS, BATCH = 9, 160
-#: Trigrams whose embeddings are fetched at once, and most that a worker keeps from batch to batch.
-FETCHED, KEPT = 1 << 17, 4_000_000
+#: Trigrams whose embeddings are fetched at once; words, and trigrams of words, that a worker keeps from batch to batch.
+FETCHED, WORDS_KEPT, KEPT = 1 << 17, 100_000, 4_000_000
+#: Odd multipliers, one for each place of a window, whose sum of products tells windows apart.
+PLACES = np.random.default_rng(11).integers(1 << 61, 1 << 62, WINDOW, dtype=np.int64) * 2 + 1
 
 # Characters that stand in for letters.
 STAND_INS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i"})
@@ -37,19 +40,21 @@ MIXED = re.compile(r"[^\W\d_]")
 REPEATED = re.compile(r"(.)\1{2,}|(\*)\*")
 
 
+def raw_tokens(text: str) -> list[str]:
+    """Words in lower case; letters set apart are one word."""
+    t = text if text.isascii() else INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    return TOKEN.findall(APART.sub(lambda m: m[0].replace(m[1], ""), t.lower()))
+
+
+def revealed(w: str) -> str:
+    """A word with its disguise taken back; numbers become 0."""
+    if MIXED.search(w):
+        return REPEATED.sub(r"\1\2", w if w.isalpha() and w.isascii() else w.translate(STAND_INS))
+    return "0" if w.isdigit() else REPEATED.sub(r"\1\2", w.translate(STAND_INS))
+
+
 def tokens(text: str) -> list[str]:
-    """Words in lower case with disguises taken back; numbers become 0."""
-    t = INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower()
-    t = APART.sub(lambda m: m[0].replace(m[1], ""), t)
-    out = []
-    for w in TOKEN.findall(t):
-        if MIXED.search(w):
-            if not w.isalpha() or not w.isascii():
-                w = w.translate(STAND_INS)
-            out.append(REPEATED.sub(r"\1\2", w))
-        else:
-            out.append("0" if w.isdigit() else REPEATED.sub(r"\1\2", w.translate(STAND_INS)))
-    return out
+    return [revealed(w) for w in raw_tokens(text)]
 
 
 def trigrams(word: str) -> list[int]:
@@ -65,31 +70,57 @@ def ragged(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-class Lexicon:
+class Spellings(dict):
+    """Ids of words as they stand in a text; those that are the same without disguise share one."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, raw: str) -> int:
+        self[raw] = r = self.lexicon[revealed(raw)]
+        return r
+
+
+class Lexicon(dict):
     """Ids of words: known words by their place, all words by their trigrams."""
 
     def __init__(self, known: dict[str, int]):
+        super().__init__()
         self.known = known
-        self.rows: dict[str, int] = {}
+        self.spellings = Spellings(self)
         self.word: list[int] = [0]
         self.tri: list[np.ndarray] = [np.empty(0, np.int16)]
         self.trigrams = 0
+        self.gates: dict[str, np.ndarray] = {}
+
+    def __missing__(self, w: str) -> int:
+        self[w] = r = len(self.word)
+        self.word.append(self.known.get(w, 0))
+        self.tri.append(np.array(trigrams(w), np.int16))
+        self.trigrams += len(w)
+        return r
 
     def ids(self, words: list[str]) -> np.ndarray:
-        out = np.empty(len(words), np.int32)
-        for i, w in enumerate(words):
-            r = self.rows.get(w)
-            if r is None:
-                r = self.rows[w] = len(self.word)
-                self.word.append(self.known.get(w, 0))
-                self.tri.append(np.array(trigrams(w), np.int16))
-                self.trigrams += len(w)
-            out[i] = r
-        return out
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+    def raw_ids(self, raw: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.spellings.__getitem__, raw), np.int32, len(raw))
+
+    def arrays(self, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Per row, the place of the word and the list of its trigrams."""
-        return np.array(self.word, np.int32), ragged(self.tri)
+        return np.array(self.word[first:], np.int32), ragged(self.tri[first:])
+
+    def with_gates(self, net: Network) -> dict[str, np.ndarray]:
+        """The gates of all rows; those of rows seen before are kept."""
+        have = len(self.gates["f"]) if self.gates else 0
+        if have < len(self.word):
+            new = net.gates(net.inputs(self.arrays(have)))
+            self.gates = {k: np.concatenate([self.gates[k], v]) for k, v in new.items()} if have else new
+        return self.gates
+
+    def full(self) -> bool:
+        return len(self.spellings) > WORDS_KEPT or self.trigrams > KEPT
 
 
 def windows(ids: np.ndarray) -> np.ndarray:
@@ -233,8 +264,53 @@ class Network:
             self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
         return float((weight * -(y * np.log(prob + 1e-9) + (1 - y) * np.log(1 - prob + 1e-9))).mean())
 
-    def score(self, w: np.ndarray, gates: dict[str, np.ndarray], size: int = 2048) -> np.ndarray:
-        return np.concatenate([self.forward(w[i : i + size], gates) for i in range(0, len(w), size)]) if len(w) else np.empty(0, np.float32)
+    def _logits(self, w: np.ndarray, gates: dict[str, np.ndarray]) -> np.ndarray:
+        """forward() without what training needs; time comes first, so that every step works on whole arrays."""
+        live = w.T > 0
+        whole = bool(live.all())
+        states = np.empty((WINDOW, len(w), 2 * HIDDEN), np.float32)
+        with np.errstate(over="ignore"):
+            for k, at in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
+                h = np.zeros((len(w), HIDDEN), np.float32)
+                for i in range(WINDOW) if k == "f" else range(WINDOW - 1, -1, -1):
+                    gx = gates[k][w[:, i]]
+                    gh = h @ self.p[f"h{k}"]
+                    zr = gx[:, : 2 * HIDDEN]
+                    zr += gh[:, : 2 * HIDDEN]
+                    np.negative(zr, out=zr)
+                    np.exp(zr, out=zr)
+                    zr += 1
+                    np.reciprocal(zr, out=zr)
+                    c = gh[:, 2 * HIDDEN :]
+                    c *= zr[:, HIDDEN:]
+                    c += gx[:, 2 * HIDDEN :]
+                    np.tanh(c, out=c)
+                    new = h - c
+                    new *= zr[:, :HIDDEN]
+                    new += c
+                    h = new if whole else np.where(live[i][:, None], new, h)
+                    states[i, :, at] = h
+        u = states @ self.p["wa"]
+        u += self.p["ba"]
+        np.tanh(u, out=u)
+        e = u @ self.p["va"] - 1e4 * ~live
+        a = np.exp(e - e.max(axis=0))
+        a /= a.sum(axis=0)
+        return np.einsum("tbk,tb->bk", states, a) @ self.p["wo"] + self.p["bo"]
+
+    def score(self, w: np.ndarray, gates: dict[str, np.ndarray], size: int = 1024) -> np.ndarray:
+        """Logits of windows; those with the same words are computed once, whole ones and others apart."""
+        if not len(w):
+            return np.empty(0, np.float32)
+        _, first, where = np.unique(w.astype(np.int64) @ PLACES, return_index=True, return_inverse=True)
+        one = w[first]
+        whole = (one > 0).all(axis=1)
+        out = np.empty(len(one), np.float32)
+        for group in (np.flatnonzero(whole), np.flatnonzero(~whole)):
+            for i in range(0, len(group), size):
+                at = group[i : i + size]
+                out[at] = self._logits(one[at], gates)
+        return out[where]
 
 
 def lexical(docs: list[list[str]], y: np.ndarray) -> dict[str, float]:
@@ -254,14 +330,14 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 7, ep
         return {"net": Network(1), "known": {}, "threshold": float("inf"), "f1": 0.0}
     rng = np.random.default_rng(seed)
     count = Counter(w for d in docs for w in set(d))
-    known = {w: i + 1 for i, (w, n) in enumerate(count.most_common(8_000)) if n > 2}
+    known = {w: i + 1 for i, (w, n) in enumerate(count.most_common(VOCABULARY)) if n > 2}
     held = rng.random(len(docs)) < 0.15
     odds = lexical([d for d, h in zip(docs, held) if not h], y[~held])
     lexicon = Lexicon(known)
     per_doc = [windows(lexicon.ids(d)) for d in docs]
     arrays = lexicon.arrays()
     value = np.zeros(len(arrays[0]), np.float32)
-    for w, r in lexicon.rows.items():
+    for w, r in lexicon.items():
         value[r] = max(0.0, odds.get(w, 0.0))
     start = np.concatenate([[0], np.cumsum([len(w) for w in per_doc])])
     every = np.concatenate(per_doc)
@@ -324,7 +400,7 @@ def labelled(documents: DataFrame, labels: DataFrame) -> pd.DataFrame:
     per_rater = one.groupBy("doc_id", "rater").agg(F.max("bad").alias("bad"))
     per_doc = per_rater.groupBy("doc_id").agg(F.avg("bad").alias("y"), F.count("*").alias("n"))
     chosen = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    texts = documents.where("text is not null").select("doc_id", F.substring("text", 1, TRAINING_CHARS).alias("text"))
+    texts = documents.where("text is not null").select("doc_id", "text")
     got = texts.join(chosen, "doc_id").orderBy("doc_id").select("text", "y", "n").collect()
     return pd.DataFrame({"text": [r[0] for r in got], "y": np.array([r[1] for r in got], float), "weight": np.minimum(2.0, 0.6 + 0.4 * np.array([r[2] for r in got], float))})
 
@@ -335,20 +411,15 @@ def _score(model, id_col: str, text_col: str):
         net: Network = m["net"]
         lexicon = Lexicon(m["known"])
         for b in batches:
-            if len(lexicon.word) > 200_000 or lexicon.trigrams > KEPT:
-                lexicon = Lexicon(m["known"])
-            per_doc = [windows(lexicon.ids(tokens(t))) for t in b[text_col]]
-            if not per_doc:
-                continue
-            start = np.concatenate([[0], np.cumsum([len(w) for w in per_doc])])
-            every = np.concatenate(per_doc)
-            used, inverse = np.unique(every, return_inverse=True)
-            if used[0] != 0:
-                used, inverse = np.concatenate([[0], used]), inverse + 1
-            word = np.array([lexicon.word[i] for i in used], np.int32)
-            score = net.score(inverse.reshape(every.shape), net.gates(net.inputs((word, ragged([lexicon.tri[i] for i in used])))))
-            most = np.maximum.reduceat(score, start[:-1])
-            yield pd.DataFrame({"doc_id": b[id_col], "score": sigmoid(most - m["threshold"]).astype(float), "flagged": most > m["threshold"]})
+            for i in range(0, len(b), 1000):
+                part = b.iloc[i : i + 1000]
+                if lexicon.full():
+                    lexicon = Lexicon(m["known"])
+                per_doc = [windows(lexicon.raw_ids(raw_tokens(t))) for t in part[text_col]]
+                start = np.concatenate([[0], np.cumsum([len(w) for w in per_doc])])
+                score = net.score(np.concatenate(per_doc), lexicon.with_gates(net))
+                most = np.maximum.reduceat(score, start[:-1])
+                yield pd.DataFrame({"doc_id": part[id_col], "score": sigmoid(most - m["threshold"]).astype(float), "flagged": most > m["threshold"]})
 
     return run
 
