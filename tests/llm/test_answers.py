@@ -120,3 +120,27 @@ def test_defects_query_reads_the_code(spark, sf_dir):
 
     df = Q.p1_defects(spark, sf_dir)
     assert "origin" in df.columns and {r.origin for r in df.select("origin").distinct().collect()} == {"answer", "code"}
+
+
+# Written without looking at the tables: what declines and what doesn't, in four languages.
+DECLINES = [
+    "I'm sorry, but I can't help with that.", "I must decline this request.", "We are not able to provide such a script.", "I won't write code that deletes accounts.", "Unfortunately I cannot complete this task.",
+    "As an AI I can't place calls with a cloned voice.", "I would prefer not to do this.", "That is against my guidelines.", "I'm not comfortable writing this program.", "Sorry, no. Ask the owner of the data.",
+    "Leider kann ich dabei nicht helfen.", "Ich muss diese Anfrage leider ablehnen.", "Das darf ich nicht ausführen.", "Ich werde dieses Programm nicht schreiben.", "Meine Richtlinien erlauben das nicht.", "Ich lehne diese Aufgabe ab.",
+    "Je ne peux malheureusement pas vous aider.", "Je refuse d'écrire ce programme.", "Je ne suis pas autorisé à modifier ces données.", "Je dois décliner cette demande.", "Il m'est impossible de répondre à cette demande.",
+    "Lo siento, no puedo ayudarte con eso.", "Debo negarme a escribir este programa.", "Me niego a hacerlo.", "No voy a generar ese código.", "Mis normas no me permiten responder.",
+]
+ANSWERS = [
+    "The value cannot be provided as text, so it is stored as a number.", "The server must refuse connections on that port.", "Due to policy reasons the export runs at night.", "The token is not able to create sessions.", "Guidelines prevent duplicate ids.",
+    "Retries will not be generating new rows.", "I can't help but notice that two filters are equal; here is the list.", "It could not be created twice, which the check shows.", "If the call is declined, the voice is kept.",
+    "Ich werde die Werte nicht runden, sondern speichern.", "Der Wert kann nicht leer sein.", "Die Sitzung war nicht in der Lage, den Filter zu laden.", "Das Feld lehnt leere Texte ab.", "Ich kann hier nicht runden, daher steht der Wert als Text da.",
+    "Je ne suis qu'un assistant, voici le résumé complet de la session.", "Le serveur refuse la connexion.", "La valeur ne peut pas être vide.", "Je ne vais pas arrondir la valeur : la voici.", "Il est impossible que la liste soit vide.",
+    "El servidor rechaza la conexión.", "El valor no puede crearse dos veces.", "No debo redondear el valor; aquí está.", "Mis pasos son tres: leer, comprobar y guardar.", "No hay filtros en la sesión.",
+]
+
+
+def test_refusals_held_out():
+    from tracelode.llm import defects
+
+    found, wrong = [t for t in DECLINES if defects.is_refusal(t)], [t for t in ANSWERS if defects.is_refusal(t)]
+    assert len(found) >= 0.9 * len(DECLINES) and not wrong, (set(DECLINES) - set(found), wrong)

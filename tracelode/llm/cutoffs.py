@@ -32,7 +32,7 @@ CLOSED = re.compile(r"[.!?。！？][\"'”»)\]]*$")
 NUMBER_STOP = re.compile(r"(?<![\w.\-])\d{1,3}\.$")
 GOES_ON = re.compile(r"([:,\\=+\-*/%(\[{.]|\b(and|or|not|in|is|if|else|return|import|from|lambda|assert)|(?<!\d)\.)$")
 PARSED = (
-    "message_id bigint, request_id bigint, source string, kind string, verdict string, n_chars int, finish string, tokens int, max_tokens int, marked boolean, items array<bigint>, ends array<int>, text string"
+    "message_id bigint, request_id bigint, source string, kind string, verdict string, n_chars int, finish string, tokens int, max_tokens int, marked boolean, items array<bigint>, ends array<int>, text string, is_last boolean"
 )
 
 
@@ -89,14 +89,14 @@ def verdict(text: str, parts: list[tuple[bool, str]], is_open: bool, last: tuple
     return "unclear", marked
 
 
-def _parse(keep_text: bool):
+def _parse():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes: dict[str, int] = {}
         for b in batches:
             rows = []
-            for mid, rid, source, body, limit in zip(b["message_id"], b["request_id"], b["source"], b["body"], b["max_tokens"]):
+            for mid, rid, source, body, limit, is_last in zip(b["message_id"], b["request_id"], b["source"], b["body"], b["max_tokens"], b["is_last"]):
                 a = answers.answer(body)
-                row = [mid, rid, source, a.kind, "none", 0, a.finish, a.tokens, None if pd.isna(limit) else int(limit), False, [], [], a.text if keep_text else None]
+                row = [mid, rid, source, a.kind, "none", 0, a.finish, a.tokens, None if pd.isna(limit) else int(limit), False, [], [], a.text if is_last else None, is_last]
                 rows.append(row)
                 if a.kind == "unreadable":
                     row[4] = "cut" if body.lstrip()[:1] in ("{", "[") else "none"
@@ -121,11 +121,14 @@ def _parse(keep_text: bool):
     return run
 
 
-def parsed(raw_messages: DataFrame, chat_requests: DataFrame, keep_text: bool = False) -> DataFrame:
-    """One row per delivery, taken apart; see PARSED. Deliveries without a request have no max_tokens."""
+def parsed(raw_messages: DataFrame, chat_requests: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """One row per delivery, taken apart; see PARSED. Deliveries without a request have no max_tokens. Of the deliveries in
+    last (request_id, message_id), one for each request, is_last is true and the text is kept."""
     limits = chat_requests.where("request_id is not null").groupBy("request_id").agg(F.max("max_tokens").alias("max_tokens"))
-    both = runtime.join_salted(raw_messages.select("message_id", "request_id", "source", "body"), limits, ["request_id"])
-    return runtime.cut(both.mapInPandas(_parse(keep_text), PARSED))
+    kept = last.withColumnRenamed("message_id", "_last") if last is not None else limits.select("request_id", F.lit(None).cast("bigint").alias("_last"))
+    both = runtime.join_salted(raw_messages.select("message_id", "request_id", "source", "body"), limits.join(kept, "request_id", "full"), ["request_id"])
+    is_last = F.coalesce(F.col("message_id") == F.col("_last"), F.lit(False)).alias("is_last")
+    return runtime.cut(both.select("message_id", "request_id", "source", "body", "max_tokens", is_last).mapInPandas(_parse(), PARSED))
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,7 +283,7 @@ def _survival(x: Column) -> Column:
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """(message_id, source, is_cut) for every delivery in rows."""
+    """(message_id, request_id, source, is_last, is_cut) for every delivery in rows."""
     fits, points = limits(rows)
     rows = rows.withColumns({"src": F.coalesce("source", F.lit("")), "fin": F.coalesce("finish", F.lit("")), "at_limit": F.coalesce(F.col("tokens") >= F.col("max_tokens"), F.lit(False))})
     settled = rows.where("verdict in ('cut', 'complete')")
@@ -306,7 +309,7 @@ def judged(rows: DataFrame) -> DataFrame:
         .otherwise(0.002)
     ) * F.when(F.col("marked"), 20.0).otherwise(1.0)
     cut = F.when(F.col("verdict") == "unclear", prior / (1 - prior) * ratio > 0.4).otherwise(F.col("verdict") == "cut")
-    return all_in.select("message_id", "source", cut.alias("is_cut"))
+    return all_in.select("message_id", "request_id", "source", "is_last", cut.alias("is_cut"))
 
 
 def cut_answers(raw_messages: DataFrame, chat_requests: DataFrame) -> DataFrame:

@@ -16,37 +16,58 @@ from pyspark.sql import functions as F
 
 from tracelode.llm import answers, cutoffs
 
-# Phrases by which an answer declines, by language.
+# Phrases by which an answer declines, by language, each behind parts of which a text must have one. All speak in the first
+# person and name the request or what it asks for; what programs or values can't do is no refusal.
+DO_EN = "(?:help(?! but)|assist|comply|fulfil|provid|produc|writ|creat|generat|answer|do (?:this|that|so)|support|complete|proceed|carry (?:this|that) out|take (?:this|that) on)"
+DO_DE = "(?:helfen|weiterhelfen|schreiben|erstellen|ausführen|beantworten|unterstützen|bearbeiten|erfüllen|liefern|herausgeben|behilflich sein|nachkommen|übernehmen)"
+DO_FR = "(?:aider|répondre|traiter|écrire|fournir|produire|générer|rédiger|créer|réaliser|exécuter|donner suite|satisfaire|accéder|faire (?:cela|ceci|ça))"
+DO_ES = "(?:ayudar|escribir|responder|atender|crear|proporcionar|generar|hacer (?:eso|esto)|cumplir|realizar|redactar|completar|complacer)"
 REFUSALS = {
     "en": [
-        r"\bi(?: must| have to| need to|'ll have to|'m going to|'d rather)? (?:politely |respectfully )?(?:refuse|decline)\b", r"\bmust (?:refuse|decline)\b",
-        r"\b(?:can(?:no|')t|can not|could not|am unable to|unable to|not able to|won't|will not|am not going to|'m not able to|'m unable to) (?:be able to |be )?(?:help|assist|comply|fulfil|provide|produc|writ|creat|generat|answer|do (?:this|that)|support|complete|proceed)\w*",
-        r"\bwill not be (?:generating|writing|providing|producing)\b", r"\bi'd rather not\b", r"\bnot something i(?: will|'ll| can|'m)\b", r"\birresponsible of me\b", r"\bi don't write programs\b", r"\bpermissions that i don't have\b",
-        r"\bguidelines (?:keep|prevent|forbid|don't|do not)\b", r"\bagainst my (?:policy|policies|guidelines|rules|principles)\b", r"\bdue to (?:safety|policy|content|ethical) (?:guidelines|reasons|policy|policies|concerns)\b",
-        r"^sorry, (?:but )?no\b", r"\bcan only discuss general topics\b", r"\bas an? (?:ai|assistant|language model)[^.]{0,40}\b(?:can(?:no|')t|decline|unable|refuse|not able)\b", r"\bnot comfortable (?:with|writing|helping)\b", r"\blet a person decide\b", r"\bi (?:prefer|choose|would prefer) not to\b",
+        (["refuse", "decline"], r"\b(?:i|we)(?: must| have to| need to|'ll have to| will have to|'m going to|'d rather)? (?:politely |respectfully )?(?:refuse|decline)\b"),
+        (["can't", "cannot", "can not", "could not", "unable", "not able", "won't", "will not", "not going"], rf"\b(?:i|we)(?:'m| am|'re| are)? (?:sorry,? but )?(?:can(?:no|')t|can not|could not|unable to|not able to|won't|will not|not going to) (?:be able to |be )?{DO_EN}\w*"),
+        (["unable", "not able"], rf"(?:^|[.!?:] |# ?)(?:sorry, )?(?:unable|not able) to {DO_EN}\w*"),
+        (["will not be"], r"\b(?:i|we|and) will not be (?:generating|writing|providing|producing)\b"),
+        (["'d rather", "not something i", "irresponsible of me", "don't write programs", "permissions that i"], r"\bi'd rather not\b|\bnot something i(?: will|'ll| can|'m)\b|\birresponsible of me\b|\bi don't write programs\b|\bpermissions that i don't have\b"),
+        (["guidelines", "against my"], r"\b(?:my|our) guidelines (?:keep|prevent|forbid|stop|don't|do not)\b|\bagainst my (?:policy|policies|guidelines|rules|principles)\b"),
+        (["sorry"], r"^(?:# ?)?sorry, (?:but )?no\b"),
+        (["general topics"], r"\bi can only discuss general topics\b"),
+        (["as a"], r"\bas an? (?:ai|assistant|language model)\b[^.]{0,20}\bi\b[^.]{0,20}\b(?:can(?:no|')t|decline|unable|refuse|not able|won't)\b"),
+        (["not comfortable"], r"\bi(?:'m| am) not comfortable (?:with|writing|helping|doing)\b"),
+        (["not to"], r"\bi (?:prefer|choose|would prefer|'d prefer) not to\b"),
     ],
     "de": [
-        r"\b(?:muss|möchte|werde) (?:ich )?(?:\w+ ){0,4}(?:ablehnen|verweigern)\b", r"\blehne (?:ich|es|das|diese)\b", r"\bich lehne\b", r"\bkann ich (?:\w+ ){0,5}nicht (?:\w+ )?(?:helfen|schreiben|erstellen|ausführen|beantworten|unterstützen|bearbeiten|erfüllen)\b",
-        r"\bich kann (?:\w+ ){0,6}nicht (?:\w+ )?(?:helfen|schreiben|erstellen|beantworten|unterstützen|bearbeiten|erfüllen)\b", r"\bdarf ich (?:\w+ ){0,5}nicht\b", r"\bich darf (?:\w+ ){0,5}nicht\b", r"\bich werde (?:\w+ ){0,6}(?:nicht|kein\w*) ", r"\bnicht in der lage\b", r"\bmeine richtlinien\b", r"\bdabei (?:\w+ )?nicht helfen\b", r"\bwerde ich nicht\b", r"\bnicht weiterhelfen\b",
+        (["ablehn", "verweiger"], r"\b(?:(?:muss|möchte|werde) ich|ich (?:muss|möchte|werde)) (?:\w+ ){0,5}(?:ablehnen|verweigern)\b"),
+        (["lehne"], r"\b(?:ich lehne|lehne ich)\b[^.!?\n]*\bab\b"),
+        (["nicht", "kein"], rf"\b(?:kann|darf|werde|möchte|will) ich (?:\w+,? ){{0,6}}(?:nicht|kein\w*) (?:\w+ ){{0,3}}{DO_DE}\b|\bich (?:kann|darf|werde|möchte|will) (?:\w+ ){{0,6}}(?:nicht|kein\w*) (?:\w+ ){{0,3}}{DO_DE}\b"),
+        (["nicht in der lage"], r"\b(?:ich bin|bin ich) (?:\w+ ){0,3}nicht in der lage\b"),
+        (["richtlinien"], r"\bmeine richtlinien\b|\bgegen meine richtlinien\b"),
     ],
     "fr": [
-        r"\bje (?:dois|préfère|vais devoir) (?:\w+ )?(?:refuser|décliner)\b", r"\bje refuse\b", r"\bje (?:ne peux|ne suis|ne vais|ne veux|ne saurais|ne ferai) (?:pas|malheureusement)?", r"\bje préfère ne pas\b", r"\bimpossible (?:pour moi )?d[e']\s?(?:vous aider|répondre|traiter|écrire)", r"\bmes (?:règles|consignes|directives)\b", r"\bm'interdi\w+", r"\bne peux pas (?:vous )?(?:aider|répondre|écrire|fournir)\b", r"\bpas en mesure\b",
+        (["refus", "declin", "déclin"], r"\bje (?:me )?(?:dois|préfère|vais devoir|vois dans l'obligation de) (?:\w+ )?(?:refuser|décliner)\b|\bje (?:refuse|décline)\b"),
+        (["je ne", "je n'"], rf"\bje (?:ne (?:peux|vais|veux|puis|pourrai)|n'arrive) (?:\w+ )?pas (?:\w+ ){{0,2}}(?:\w')?{DO_FR}|\bje ne (?:saurais|peux|puis) (?:\w+ )?(?:\w')?{DO_FR}|\bje ne suis (?:\w+ )?pas (?:en mesure|autorisée?|habilitée?)\b"),
+        (["préfère ne"], rf"\bje préfère ne pas (?:\w+ )?(?:\w')?{DO_FR}"),
+        (["impossible"], rf"\b(?:il m'est )?impossible (?:pour moi )?(?:de |d')(?:vous )?{DO_FR}"),
+        (["mes "], r"\bmes (?:règles|consignes|directives) (?:\w+ )?(?:m'|ne me |me )"),
+        (["interdi"], r"\bm'interdi\w+"),
     ],
     "es": [
-        r"\b(?:debo|tengo que|prefiero) (?:negarme|rechazar|declinar|rehusar|no )", r"\bno (?:me es posible|puedo|podré|voy a|quiero|debo) (?:\w+ )?(?:ayudar|escribir|responder|atender|crear|proporcionar|generar|hacer|cumplir|ayudarle|ayudarte|realizar)\w*", r"\bme niego\b", r"\bmis (?:normas|reglas|directrices|políticas)\b", r"\bno estoy (?:autorizad\w+|en condiciones)\b", r"\brechazo\b", r"\bno me está permitido\b", r"\bno escribiré\b",
+        (["negarme", "rechaz", "rehusar", "declinar"], r"\b(?:debo|tengo que|prefiero|voy a) (?:negarme|rechazar|declinar|rehusar)\b|\brechazo (?:esta|esa|la|su|tu) (?:tarea|petición|solicitud)\b"),
+        (["no "], rf"\bno (?:me es posible|puedo|podré|voy a|quiero|debo|pienso) (?:\w+ )?{DO_ES}\w*|\bprefiero no {DO_ES}\w*|\bno me está permitido\b|\bno (?:lo )?escribiré\b|\bno estoy (?:autorizad\w+|en condiciones)\b"),
+        (["me niego"], r"\bme niego\b"),
+        (["mis "], r"\bmis (?:normas|reglas|directrices|políticas) (?:no )?me\b"),
     ],
     "other": [
-        r"\bnão (?:posso|vou|consigo|me é possível)\b", r"\bdevo recusar\b", r"\bnon posso\b", r"\bdevo rifiutare\b", r"\bik kan (?:\w+ ){0,4}niet (?:helpen|schrijven)\b", r"не могу (?:помочь|выполнить|написать|ответить)", r"отказываюсь", r"вынужден\w* отказать", r"(?:无法|不能|拒绝)(?:帮助|协助|提供|完成|编写|回答|满足|处理|执行这)", r"抱歉[，,]", r"お手伝いできません", r"できません", r"도와드릴 수 없",
+        (["não "], r"\bnão (?:posso|vou|consigo|me é possível) (?:\w+ )?(?:ajudar|escrever|responder|atender|criar|fornecer|gerar|fazer isso|cumprir)"),
+        (["recusar", "rifiutare"], r"\bdevo recusar\b|\bdevo rifiutare\b"),
+        (["non posso"], r"\bnon posso (?:\w+ )?(?:aiutar|scriver|risponder|fornir|crear|generar|eseguir|soddisfar)"),
+        (["ik kan"], r"\bik kan (?:\w+ ){0,4}niet (?:helpen|schrijven|beantwoorden)\b"),
+        (["не могу", "отказ"], r"не могу (?:\w+ )?(?:помочь|выполнить|написать|ответить)|\bя отказываюсь|вынужден\w* отказать"),
+        (["无法", "不能", "拒绝", "抱歉"], r"我(?:无法|不能|拒绝)(?:为您|帮您)?(?:帮助|协助|提供|完成|编写|回答|满足|处理|执行)|抱歉[，,]\s*(?:我|无法|不能)"),
+        (["できません", "도와드릴"], r"(?:お手伝い|お答え|対応|ご協力)できません|도와드릴 수 없"),
     ],
 }
-REFUSAL = re.compile("|".join(x for group in REFUSALS.values() for x in group), re.M)
-# Every phrase above has one of these parts; most texts have none of them.
-HINTS = [
-    "refus", "declin", "can't", "cannot", "can not", "could not", "unable", "not able", "won't", "will not", "not going to", "'d rather", "not something i", "irresponsible of me", "don't write programs", "permissions that i", "guidelines", "against my",
-    "due to", "sorry", "general topics", "as a", "not comfortable", "person decide", "not to", "ablehn", "verweiger", "lehne", "nicht", "kein", "richtlinien", "je dois", "je préfère", "je vais", "je ne", "impossible", "mes ", "interdi", "ne peux", "pas en mesure",
-    "negarme", "rechaz", "rehusar", "prefiero", "debo", "tengo que", "no me es", "no puedo", "no podr", "no voy", "no quiero", "no debo", "me niego", "mis ", "no estoy", "no me está", "no escribir", "não ", "recusar", "non posso", "rifiutare", "ik kan",
-    "не могу", "отказ", "无法", "不能", "拒绝", "抱歉", "できません", "도와드릴",
-]
+REFUSAL = [(hints, re.compile(pattern, re.M)) for group in REFUSALS.values() for hints, pattern in group]
 
 # Frequent words that tell a language written in Latin letters, function words first, then those of comments.
 FUNCTION_WORDS = {
@@ -74,6 +95,8 @@ SIGNS = {"ß": "de", "ñ": "es", "¿": "es", "¡": "es", "ã": "pt", "õ": "pt",
 SCRIPTS = [("ru", re.compile(r"[\u0400-\u04ff]")), ("zh", re.compile(r"[\u4e00-\u9fff\u3040-\u30ff]")), ("ko", re.compile(r"[\uac00-\ud7a3]")), ("ar", re.compile(r"[\u0600-\u06ff]")), ("el", re.compile(r"[\u0370-\u03ff]")), ("hi", re.compile(r"[\u0900-\u097f]")), ("he", re.compile(r"[\u0590-\u05ff]"))]
 LATIN = re.compile(r"[^\W\d_]+")
 COMMENT = re.compile(r"(?:^|\s)#\s*(.+)$")
+FENCE_LINE = re.compile(r"^[ \t]*```\w*", re.M)
+LIST_MARK = re.compile(r"^[^\S\n]*(\d+[.)]|[-*>•]+)[^\S\n]", re.M)
 DOCSTRING = re.compile(r'"""(.*?)"""', re.S)
 
 
@@ -124,7 +147,7 @@ def prose_and_comments(text: str) -> str:
 
 def declines(text: str) -> bool:
     low = text.lower().replace("’", "'")
-    return any(h in low for h in HINTS) and bool(REFUSAL.search(low))
+    return any(pattern.search(low) for hints, pattern in REFUSAL if any(h in low for h in hints))
 
 
 def has_solution(text: str) -> bool:
@@ -155,17 +178,20 @@ def task_part(prompt: str) -> str:
 def is_copy(text: str, prompt: str) -> bool:
     """Nothing but the prompt or its task: nearly all runs of four words of the answer stand in the prompt, and they
     make up most of the task."""
-    own = [w for line in re.sub(r"^[ \t]*```\w*", "", text, flags=re.M).split("\n") for w in plain_words(re.sub(r"^\s*(\d+[.)]|[-*>•]+)\s", "", line))]
-    asked = plain_words(prompt)
+    own, asked = plain_words(LIST_MARK.sub("", FENCE_LINE.sub("", text))), plain_words(prompt)
     if len(own) < 4 or len(asked) < 4:
         return bool(own) and own == asked
-    runs = lambda x: list(zip(x, x[1:], x[2:], x[3:]))
-    theirs, mine = set(runs(asked)), runs(own)
+    theirs = f" {' '.join(asked)} "
+    spare = (len(own) - 3) * 0.15
     # a list puts its own breaks between the sentences of the task; headings may be left out
-    inside = sum(r in theirs for r in mine) / len(mine)
-    task = set(runs(plain_words(task_part(prompt))))
-    covered = len(task & set(mine)) / max(1, len(task))
-    return inside >= 0.85 and covered >= 0.6
+    for i in range(len(own) - 3):
+        if f" {own[i]} {own[i + 1]} {own[i + 2]} {own[i + 3]} " not in theirs:
+            spare -= 1
+            if spare < 0:
+                return False
+    runs = lambda x: set(zip(x, x[1:], x[2:], x[3:]))
+    task = runs(plain_words(task_part(prompt)))
+    return len(task & runs(own)) >= 0.6 * max(1, len(task))
 
 
 def defect_types(kind: str, text: str | None, cut: bool, prompt: str | None) -> list[str]:
@@ -204,13 +230,15 @@ def defects(prompt_messages: DataFrame, raw_messages: DataFrame, chat_requests:
     Requests without deliveries have no rows; without a prompt only empty, truncated and refusal are possible; null bodies
     are empty. Prompts given twice count once; empty tables give an empty result; further columns are not read.
     """
-    rows = cutoffs.parsed(raw_messages, chat_requests, keep_text=True)
-    judged = cutoffs.judged(rows).select("message_id", "is_cut")
     order = F.struct(F.coalesce(F.col("received_at").cast("timestamp").cast("double"), F.lit(float("-inf"))), "message_id")
     last = raw_messages.where("request_id is not null").groupBy("request_id").agg(F.max_by("message_id", order).alias("message_id"))
+    rows = cutoffs.parsed(raw_messages, chat_requests, last)
+    texts = rows.where("is_last").select("request_id", "message_id", "kind", "text")
+    cuts = cutoffs.judged(rows).where("is_last").select("request_id", "is_cut")
     prompts = prompt_messages.where("request_id is not null").groupBy("request_id").agg(F.max("prompt").alias("prompt"))
-    texts = last.join(rows.select("message_id", "kind", "text"), "message_id").join(judged, "message_id").join(prompts, "request_id", "left")
-    return texts.select("request_id", "kind", "text", "is_cut", "prompt").mapInPandas(_types, "request_id bigint, defect string, place int")
+    # all by one key: each text moves once
+    met = texts.join(cuts, "request_id").join(prompts, "request_id", "left")
+    return met.select("request_id", "kind", "text", "is_cut", "prompt").mapInPandas(_types, "request_id bigint, defect string, place int")
 
 
 def _code_types(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
