@@ -109,18 +109,31 @@ def split_key(key: Column) -> tuple[Column, Column]:
     return F.element_at(parts, 1), F.try_element_at(parts, F.lit(2))
 
 
-def from_json_book(text: DataFrame, column: str = "value") -> DataFrame:
-    """A book stored as {"data": {"src||dst": n}}."""
-    data = F.from_json(column, "data map<string,bigint>")["data"]
-    rows = text.select(F.explode(data).alias("key", "occ"))
+PARTS = {"data": "occ", "pending_discards": "dec", "round_snapshot": "occ"}
+
+
+def from_json_book(text: DataFrame, column: str = "value", part: str = "data") -> DataFrame:
+    """A part of a book stored as {"data": {"src||dst": n}, "pending_discards": {...}, "round_snapshot": {...}}; a part that isn't
+    there is empty."""
+    data = F.from_json(column, ", ".join(f"{k} map<string,bigint>" for k in PARTS))[part]
+    rows = text.select(F.explode(data).alias("key", PARTS[part]))
     src, dst = split_key(F.col("key"))
-    return rows.select(src.alias("src"), dst.alias("dst"), "occ")
+    return rows.select(src.alias("src"), dst.alias("dst"), PARTS[part])
+
+
+def _as_map(pairs: DataFrame, count: str, name: str) -> DataFrame:
+    entries = F.sort_array(F.collect_list(F.struct(pair_key(F.col("src"), F.col("dst")).alias("k"), F.col(count).alias("v"))))
+    return pairs.agg(F.map_from_entries(entries).alias(name))
 
 
-def to_json_book(book: DataFrame) -> DataFrame:
-    """One row: the book as JSON. A book has a row per pair of operation names, so it is small by nature."""
-    entries = F.sort_array(F.collect_list(F.struct(pair_key(F.col("src"), F.col("dst")).alias("k"), F.col("occ").alias("v"))))
-    return book.agg(F.to_json(F.struct(F.map_from_entries(entries).alias("data"))).alias("value"))
+def to_json_book(book: DataFrame, pending: DataFrame | None = None, snapshot: DataFrame | None = None) -> DataFrame:
+    """One row: the book as JSON, with pending discards and a round's snapshot if given. A book has a row per pair of operation
+    names, so it is small by nature."""
+    out = _as_map(book, "occ", "data")
+    for name, part in (("pending_discards", pending), ("round_snapshot", snapshot)):
+        if part is not None:
+            out = out.join(F.broadcast(_as_map(part, PARTS[name], name)))  # one row each
+    return out.select(F.to_json(F.struct(*out.columns)).alias("value"))
 
 
 def unit_hash(*parts: Column) -> Column:

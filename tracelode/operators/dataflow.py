@@ -7,6 +7,9 @@ directly, -1 if it is known but comes from none, -2 if it is unknown). No progra
 from __future__ import annotations
 
 import ast
+import builtins
+import math
+import sys
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,11 +19,15 @@ from tracelode.operators.book import FIRST, count_pairs
 
 # Names that are modules rather than data.
 MODULES = {"torch", "np", "json", "requests", "os", "sys", "math"}
+#: Without a list of allowed names, calls of these are no operations: Python's builtins, its standard library, functions of math.
+BUILTINS = {x for x in dir(builtins) if callable(getattr(builtins, x))}
+MATH = {x for x in dir(math) if not x.startswith("_")}
 
 
 class _Visitor:
     def __init__(self, allowlist: set[str] | None):
         self.allowed, self.out, self.calls, self.origins, self.known = allowlist, [], 0, {}, set()
+        self.imported: dict[str, str] = {}
 
     @staticmethod
     def dotted(node) -> str | None:
@@ -33,13 +40,19 @@ class _Visitor:
         return None
 
     def listed(self, name: str) -> bool:
-        return self.allowed is None or name in self.allowed or name.rpartition(".")[2] in self.allowed
+        if self.allowed is not None:
+            return name in self.allowed or name.rpartition(".")[2] in self.allowed
+        first = name.split(".")[0]
+        module = self.imported.get(first, "" if first in self.known else first)
+        return name not in BUILTINS and name not in MATH and not (module.split(".")[0] in sys.stdlib_module_names and ("." in name or first in self.imported))
 
     def value(self, node, gated: bool) -> set[int]:
         """Calls below an expression, in the order they happen; those its value comes from directly."""
         if isinstance(node, ast.Call):
             inner: set[int] = set()
-            for a in [*node.args, *[k.value for k in node.keywords]]:
+            parts = [*node.args, *[k.value for k in node.keywords]]
+            before = self.calls
+            for a in parts:
                 inner |= self.value(a, gated)
             name = self.dotted(node.func)
             if name is None:
@@ -50,13 +63,14 @@ class _Visitor:
             self.calls += 1
             receiver = name.split(".")[0] if "." in name else None
             self.out.append(("call", no, name, node.lineno, receiver, gated, None, None))
-            for a in [*node.args, *[k.value for k in node.keywords]]:
-                for v in ast.walk(a):
-                    if isinstance(v, ast.Name) and v.id not in MODULES:
-                        got = self.origins.get(v.id)
-                        for o in sorted(got) if got else [-1 if v.id in self.known else -2]:
-                            self.out.append(("arg", no, name, node.lineno, None, gated, v.id, o))
-            for o in sorted(inner):
+            # the receiver is an argument too
+            names = {v.id for a in parts for v in ast.walk(a) if isinstance(v, ast.Name)} | ({receiver} if receiver else set())
+            for v in sorted(names - MODULES - self.imported.keys() - BUILTINS):
+                got = self.origins.get(v)
+                for o in sorted(got) if got else [-1 if v in self.known else -2]:
+                    self.out.append(("arg", no, name, node.lineno, None, gated, v, o))
+            # calls written inside the arguments; origins reached through a name are told by the name
+            for o in sorted(x for x in inner if x >= before):
                 self.out.append(("arg", no, name, node.lineno, None, gated, f"<call {o}>", o))
             return {no}
         found: set[int] = set()
@@ -77,7 +91,10 @@ class _Visitor:
 
     def block(self, body: list, gated: bool) -> None:
         for s in body:
-            if isinstance(s, ast.Assign):
+            if isinstance(s, ast.Import | ast.ImportFrom):
+                for n in s.names:
+                    self.imported[n.asname or n.name.split(".")[0]] = getattr(s, "module", None) or n.name
+            elif isinstance(s, ast.Assign):
                 o = self.value(s.value, gated)
                 for t in s.targets:
                     self.bind(t, o)

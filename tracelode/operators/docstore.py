@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def get(store: DataFrame, source: str, kind: str) -> DataFrame:
 
 
 def get_one(store: DataFrame, source: str, kind: str, doc_id: Any) -> DataFrame:
-    """(status, message, id): 200 with the document, or one row of status 404."""
+    """(status, message, id): 200 with the document whose id is doc_id (a value or a column), or one row of status 404."""
     hit = get(store, source, kind).where(F.col("id") == doc_id)
     one = hit.agg(F.first("id").alias("id"))
     found = F.col("id").isNotNull()
@@ -95,7 +96,9 @@ def _operator(op: str, value: Any, c: Column, again) -> Column:
         got = getattr(left, COMPARE[op])(right)
         return F.coalesce(got, F.lit(op == "$ne"))
     if op in ("$in", "$nin"):
-        hit = F.coalesce(c.isin([v if isinstance(v, str) else json.dumps(v) for v in value]), F.lit(False))
+        hit = F.lit(False)
+        for v in value:  # numbers by value, as in $eq
+            hit = hit | _operator("$eq", v, c, None)
         return hit if op == "$in" else ~hit
     if op == "$exists":
         return c.isNotNull() if value else c.isNull()
@@ -138,11 +141,23 @@ def status(problem: Column) -> Column:
     return F.when(problem == "", 200).otherwise(400)
 
 
+def _without(value: Any, gone: frozenset) -> Any:
+    if isinstance(value, dict):
+        return {k: _without(v, gone) for k, v in sorted(value.items()) if k not in gone}
+    return [_without(v, gone) for v in value] if isinstance(value, list) else value
+
+
 def strip_keys(data: str | Column, keys: list[str]) -> Column:
-    """JSON object without the given top-level keys, its other values as text, keys sorted."""
-    fields = F.from_json(data, "map<string,string>")
-    kept = F.map_filter(fields, lambda k, v: ~k.isin(keys))
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept))))
+    """JSON without the given keys at any depth, keys sorted; null if it can't be read. Built-in functions don't reach every
+    depth, hence Arrow batches."""
+    gone = frozenset(keys)
+
+    @F.pandas_udf("string")
+    def strip(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else json.dumps(_without(json.loads(t), gone), separators=(",", ":"), ensure_ascii=False) for t in texts], dtype=object)
+
+    c = F.col(data) if isinstance(data, str) else data
+    return strip(F.when(F.try_parse_json(c).isNotNull(), c))
 
 
 def unique_fields(fields: DataFrame, group: list[str], key: str, value: str) -> DataFrame:
@@ -164,3 +179,100 @@ def latest(log: DataFrame, key: list[str], order: list[str], columns: list[str])
 def longest(lineages: DataFrame, key: str, size: str, order: str, columns: list[str]) -> DataFrame:
     """The row of most transitions of each key; the first of equals."""
     return lineages.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(F.col(size), -F.col(order))).alias("v")).select(key, "v.*")
+
+
+# The service: every change gives the next store and a status row per request. A store has the columns id, source, type, data and
+# checksum; requests carry a number req, and one number is one request.
+
+STORE = "id bigint, source string, type string, data string, checksum string"
+
+
+def _checked(requests: DataFrame) -> DataFrame:
+    """Requests with what is wrong with them and the checksum of their document."""
+    return requests.withColumns({"problem": violations(F.col("source"), F.col("type"), F.col("data")), "checksum": checksum("data")})
+
+
+def insert(store: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(store, (req, status, message, id)) after requests (req, source, type, data) are added.
+
+    A document whose (source, type, checksum) the store or an earlier request has gives that one's id; others are numbered in
+    the order of req from the store's largest id. Invalid documents have status 400 and are not added.
+    """
+    key = ["source", "type", "checksum"]
+    good = _checked(requests)
+    first = good.where("problem = ''").groupBy(*key).agg(F.min(F.struct("req", "data")).alias("one"))
+    known = store.groupBy(*key).agg(F.min("id").alias("old_id"))
+    fresh = first.join(known, key, "left_anti").select(*key, "one.*")
+    # numbers by range, so that no task sees all new documents
+    ranked = numbered(fresh, "req")
+    top = store.agg(F.coalesce(F.max("id"), F.lit(1)).alias("_top"))
+    added = ranked.join(F.broadcast(top)).select((F.col("_top") + F.col("_no")).alias("id"), "source", "type", "data", "checksum")
+    new = store.select("id", *key[:2], "data", "checksum").unionByName(added)
+    ids = new.groupBy(*key).agg(F.min("id").alias("_id"))
+    told = good.join(ids, key, "left").select("req", status(F.col("problem")).alias("status"), F.when(F.col("problem") == "", "added").otherwise(F.col("problem")).alias("message"), F.when(F.col("problem") == "", F.col("_id")).alias("id"))
+    return new, told
+
+
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """Rows with _no, their place from 1 in the order of a unique column: places within ranges, and the sizes of the ranges before."""
+    placed = df.repartitionByRange(df[order]).withColumn("_part", F.spark_partition_id())
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row a partition, whatever the size of the data
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return placed.withColumn("_w", within).join(F.broadcast(before), "_part").withColumn("_no", F.col("_before") + F.col("_w")).drop("_part", "_w", "_before")
+
+
+def update(store: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(store, (req, status, message, id)) after requests (req, source, type, id, data) replaced data and its checksum.
+
+    404 where (source, type, id) isn't stored, 400 where the document is invalid, 409 where another document has the same source, type and
+    checksum, whether stored or made so by a lesser request; of several valid requests for one document the last counts.
+    """
+    at = ["source", "type", "id"]
+    asked = _checked(requests).join(store.select(*at, F.lit(True).alias("_there")), at, "left")
+    live = asked.where("problem = '' and _there")
+    last = live.groupBy(*at).agg(F.max(F.struct("req", "data", "checksum")).alias("v"))
+    after = store.join(last, at, "left").select(*at, F.coalesce("v.data", "data").alias("data"), F.coalesce("v.checksum", "checksum").alias("checksum"), F.col("v.req").alias("_req"), F.col("data").alias("_data"), F.col("checksum").alias("_checksum"))
+    key = ["source", "type", "checksum"]
+    owner = after.groupBy(*key).agg(F.count("*").alias("_c"), F.min(F.struct(F.coalesce("_req", F.lit(-1)).alias("r"), "id")).alias("_first"))
+    met = after.join(owner, key, "left").withColumn("_clash", F.col("_req").isNotNull() & (F.col("_c") > 1) & (F.col("_first.id") != F.col("id")))
+    new = met.select("id", "source", "type", F.when(F.col("_clash"), F.col("_data")).otherwise(F.col("data")).alias("data"), F.when(F.col("_clash"), F.col("_checksum")).otherwise(F.col("checksum")).alias("checksum"))
+    clashes = met.where("_clash").select(*at, F.lit(True).alias("_clash"))
+    told = asked.join(clashes, at, "left")
+    code = F.when(F.col("problem") != "", 400).when(F.col("_there").isNull(), 404).when(F.col("_clash"), 409).otherwise(200)
+    message = F.when(F.col("problem") != "", F.col("problem")).when(F.col("_there").isNull(), "not found").when(F.col("_clash"), "duplicate").otherwise("updated")
+    return new, told.select("req", code.alias("status"), message.alias("message"), "id")
+
+
+def remove(store: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(store, (req, status, message, id)) after requests (req, source, type, id): 200 for the first request for a stored document,
+    404 for all others."""
+    at = ["source", "type", "id"]
+    first = requests.groupBy(*at).agg(F.min("req").alias("_first"))
+    there = store.select(*at).distinct().join(first, at)
+    met = requests.join(there, at, "left")
+    hit = F.coalesce(F.col("req") == F.col("_first"), F.lit(False))
+    told = met.select("req", F.when(hit, 200).otherwise(404).alias("status"), F.when(hit, "deleted").otherwise("not found").alias("message"), "id")
+    return store.join(requests.select(*at).distinct(), at, "left_anti"), told
+
+
+def lookup(store: DataFrame, asked: DataFrame) -> DataFrame:
+    """(req, id) of the documents equal to those asked for (req, source, type, data), whatever the order of their fields."""
+    want = asked.withColumn("checksum", checksum("data")).select("req", "source", "type", "checksum")
+    return want.join(store.select("id", "source", "type", "checksum"), ["source", "type", "checksum"]).select("req", "id")
+
+
+def find(store: DataFrame, requests: DataFrame) -> DataFrame:
+    """(req, status, message, id): each request (req, source, type, id) answered with 200 or 404."""
+    there = store.select("source", "type", "id", F.lit(True).alias("_there")).distinct()
+    met = requests.join(there, ["source", "type", "id"], "left")
+    hit = F.col("_there").isNotNull()
+    return met.select("req", F.when(hit, 200).otherwise(404).alias("status"), F.when(hit, "found").otherwise("not found").alias("message"), "id")
+
+
+def edit(data: Column, field: str, value: Column) -> Column:
+    """A JSON object with one field set, whether it had the field or not; its other values as they were, keys sorted."""
+    fields = F.map_filter(F.from_json(data, "map<string,string>"), lambda k, v: k != field)
+    whole = F.map_concat(F.coalesce(fields, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.create_map(F.lit(field), value.cast("string")))
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(whole))))

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 
 def cells(df: DataFrame, tensor_id: str, values: str, shape: list[int]) -> DataFrame:
-    """Cells of tensors held as flat arrays in row-major order; entries beyond the shape are left out."""
-    flat = df.select(F.col(tensor_id).alias("tensor_id"), F.posexplode(values).alias("_p", "val")).where(F.col("_p") < _product(shape))
+    """Cells of tensors held as flat arrays in row-major order; a null array has none, one of another length than the shape's
+    is an error."""
+    whole = F.when(F.size(values) == _product(shape), F.col(values)).otherwise(F.raise_error(F.lit(f"values don't fill the shape {shape}")).cast("array<double>"))
+    flat = df.where(F.col(values).isNotNull()).select(F.col(tensor_id).alias("tensor_id"), F.posexplode(whole).alias("_p", "val"))
     steps = [_product(shape[i + 1 :]) for i in range(len(shape))]
     idx = F.array(*[(F.floor(F.col("_p") / s) % n).cast("int") for s, n in zip(steps, shape)])
     return flat.select("tensor_id", idx.alias("idx"), F.col("val").cast("double").alias("val"))

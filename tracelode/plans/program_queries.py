@@ -19,6 +19,26 @@ def q_ast_transitions(code_messages):
     return t.groupBy("src", "dst").agg(F.sum("occ").alias("occ"), F.countDistinct("request_id").alias("programs"))
 
 
+# Programs whose pairs can be told by reading, with what must come out.
+FLOW = {
+    1: ("import torch\nx = torch.randn(3, 4)\ny = torch.permute(x, (1, 0))\nz = torch.transpose(y, 0, 1)", [("torch.randn", "torch.permute", 1), ("torch.permute", "torch.transpose", 1)]),
+    2: ("s = client.open(name)\ns.read()\ns.close()", [("NONE", "client.open", 2), ("client.open", "s.read", 1), ("client.open", "s.close", 1), ("s.read", "s.close", 1)]),
+    3: ("a = svc.get(1)\nn = len(a)\nprint(n)\nb = svc.put(a, n)", [("NONE", "svc.get", 1), ("NONE", "svc.put", 1), ("svc.get", "svc.put", 3)]),
+    4: ("r = api.send(api.load(1))", [("NONE", "api.load", 1), ("NONE", "api.send", 1), ("api.load", "api.send", 2)]),
+    5: ("import json, math\nd = json.loads(t)\nq = math.floor(2.5)\nw = shop.buy(d)", [("NONE", "shop.buy", 2)]),
+    6: ("v = 3\nif v > 2:\n    u = box.put(v)\nelse:\n    u = box.take(v)\nbox.seal(u)", [("NONE", "box.put", 2), ("NONE", "box.take", 2), ("NONE", "box.seal", 1), ("box.take", "box.seal", 1), ("box.put", "box.take", 1), ("box.take", "box.seal", 1)]),
+    7: ("def broken(:", []),
+}
+_PAIRS = {(i, s, d): sum(n for a, b, n in want if (a, b) == (s, d)) for i, (_, want) in FLOW.items() for s, d, _ in want}
+
+
+@query("region", sql="SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', '{d}', {n})" for (i, s, d), n in _PAIRS.items()) + ") t(id, src, dst, occ)")
+def q_flow_fixture(region):
+    """Pairs of a few programs that are known by reading; the table is read for its session only."""
+    programs = region.sparkSession.createDataFrame([(i, code) for i, (code, _) in FLOW.items()], "id int, code string")
+    return D.transitions(D.facts(programs, "id", "code"), "id")
+
+
 @query("code_messages")
 def q_ast_calls(code_messages):
     one = code_messages.select("request_id", "code").distinct()

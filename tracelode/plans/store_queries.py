@@ -20,9 +20,11 @@ def q_doc_get(documents):
 
 @query("documents", sql="SELECT 200 AS status, 'found' AS message, min(doc_id) AS id FROM documents WHERE source = 'api_guide' AND lang = 'de' UNION ALL SELECT 404, 'not found', NULL")
 def q_doc_get_one(documents):
+    """A document that is there and one that isn't."""
     s = store(documents)
-    smallest = s.where("source = 'api_guide' and type = 'de'").agg(F.min("id").alias("id")).select(F.lit(200).alias("status"), F.lit("found").alias("message"), "id")
-    return smallest.unionByName(D.get_one(s, "api_guide", "de", -1))
+    smallest = s.where("source = 'api_guide' and type = 'de'").agg(F.min("id").alias("id"))
+    there = s.join(F.broadcast(smallest), "id", "left_semi")
+    return D.get_one(there, "api_guide", "de", F.col("id")).unionByName(D.get_one(s, "api_guide", "de", -1))
 
 
 @query("documents", sql="SELECT source, lang, md5(text) AS checksum, min(doc_id) AS stored_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1, 2, 3")
@@ -96,11 +98,11 @@ def q_doc_validate(session_docs):
 
 @query("documents", sql="SELECT doc_id, coalesce(task, 'none') AS meta, CASE WHEN lang IS NULL OR lang = 'en' THEN 'english' ELSE lang END AS lang FROM documents")
 def q_doc_local_edit(documents):
-    """Two fields set: one where it is missing, one from another value; a later entry of a map wins."""
-    old = F.map_from_arrays(F.array(F.lit("meta"), F.lit("lang")), F.array("task", "lang"))
-    entries = F.array_append(F.filter(F.map_entries(old), lambda e: ~((e["key"] == "lang") & (e["value"].isNull() | (e["value"] == "en")))), F.struct(F.lit("none").alias("key"), F.lit(None).cast("string").alias("value")))
-    edited = F.map_from_entries(F.filter(entries, lambda e: e["key"] != "none"))
-    return documents.select("doc_id", F.coalesce(edited["meta"], F.lit("none")).alias("meta"), F.coalesce(F.try_element_at(edited, F.lit("lang")), F.lit("english")).alias("lang"))
+    """Two fields set from other values, one of which the document has, one of which it may not have."""
+    doc = F.to_json(F.struct(F.col("lang").alias("lang")))
+    lang = F.when(F.col("lang").isNull() | (F.col("lang") == "en"), "english").otherwise(F.col("lang"))
+    edited = D.edit(D.edit(doc, "meta", F.coalesce("task", F.lit("none"))), "lang", lang)
+    return documents.select("doc_id", F.get_json_object(edited, "$.meta").alias("meta"), F.get_json_object(edited, "$.lang").alias("lang"))
 
 
 @query("orders", sql="""
@@ -115,9 +117,8 @@ def q_doc_next_id(orders):
 @query("orders", "customer", sql="""
 SELECT c_custkey, EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F') AS has_finished FROM customer c""")
 def q_exists_remote(orders, customer):
-    done = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    there = customer.select("c_custkey").join(done, "c_custkey", "left_semi").withColumn("has_finished", F.lit(True))
-    return there.unionByName(customer.select("c_custkey").join(done, "c_custkey", "left_anti").withColumn("has_finished", F.lit(False)))
+    done = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("_done")).distinct()
+    return customer.select("c_custkey").join(done, "c_custkey", "left").select("c_custkey", F.col("_done").isNotNull().alias("has_finished"))
 
 
 @query("translations", sql="""

@@ -72,11 +72,11 @@ def first_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return whole_texts(spark, path).orderBy("file").limit(1)
 
 
-def book(spark: SparkSession, path: str) -> DataFrame:
-    """A stored book; an empty one if there is no file."""
+def book(spark: SparkSession, path: str, part: str = "data") -> DataFrame:
+    """A part of a stored book, see from_json_book; empty if there is no file."""
     if not _exists(spark, path):
-        return spark.createDataFrame([], B.BOOK)
-    return B.from_json_book(spark.read.text(path, wholetext=True))
+        return spark.createDataFrame([], f"src string, dst string, {B.PARTS[part]} bigint")
+    return B.from_json_book(spark.read.text(path, wholetext=True), part=part)
 
 
 def agent_data(spark: SparkSession, path: str) -> DataFrame:
