@@ -167,16 +167,7 @@ def test_graph(spark, rows):
     assert G.path_depth(e.where("false")).first().depth == 0
 
 
-def test_generated_traces(spark, rows):
-    steps, b = N.traces(spark, 40, 5, seed=3)
-    got = steps.collect()
-    assert max(r.call_no for r in got) == 4 and len({(r.trace_id, r.op, r.target) for r in got}) == len(got)
-    assert sum(r.occ for r in b.collect()) == len(got)
-    assert not any(r.src in N.QUERIES_ and r.op in N.QUERIES_ for r in got)
-    again, _ = N.traces(spark, 40, 5, seed=3)
-    assert rows(steps) == rows(again)
-    grown = N.traces(spark, 40, 5, seed=4, book=b)[1]
-    assert {(r.src, r.dst) for r in b.collect()} <= {(r.src, r.dst) for r in grown.collect()}
+def test_random_documents(spark):
     assert N.documents(spark, 20).where("get_json_object(data, '$.title') is null").count() == 0 and N.tensors(spark, 2, (2, 3)).count() == 12
 
 
@@ -217,3 +208,132 @@ def test_paths_have_no_cap_in_depth(spark, rows):
     assert G.path_depth(e).first().depth == 9
     assert rows(G.chains(e)) == [(" -> ".join(f"n{i}" for i in range(10)), 9)]
     assert G.path_depth(e, 4).first().depth == 4
+
+
+def test_flow_counts_once(spark):
+    code = "x = torch.randn(3, 4)\ny = torch.permute(x, (1, 0))\ns = api.open(n)\ns.read()\nlen(y)\nprint(len(y))"
+    df = spark.createDataFrame([(1, code)], "id int, code string")
+    got = {(r.src, r.dst): r.occ for r in D.transitions(D.facts(df, "id", "code"), "id").collect()}
+    assert got == {("torch.randn", "torch.permute"): 1, ("NONE", "api.open"): 2, ("api.open", "s.read"): 1}
+
+
+def test_long_paths_have_no_cap(spark):
+    e = spark.createDataFrame([(str(i), str(i + 1)) for i in range(9)], "src string, dst string")
+    assert G.path_depth(e).first().depth == 9 and G.chains(e).count() == 1
+
+
+def test_filters_on_numbers_by_value(spark):
+    s = spark.createDataFrame(DOCS, "id string, source string, type string, data string")
+    assert [r.id for r in S.fetch(s, {"data.n": {"$in": [5.0, 7]}}).collect()] == ["1"]
+    assert {r.id for r in S.fetch(s, {"data.n": {"$nin": [5]}}).collect()} == {"2", "3"}
+
+
+def stored(spark, *rows):
+    df = spark.createDataFrame(list(rows), "id long, source string, type string, data string")
+    return df.withColumn("checksum", S.checksum("data"))
+
+
+def test_service(spark):
+    ask = lambda rows, schema: spark.createDataFrame(rows, schema)
+    told = lambda df: {r.req: (r.status, r.id) for r in df.collect()}
+    store = stored(spark, (3, "shop", "group", '{"a":1,"b":2}'), (4, "shop", "group", '{"a":2}'))
+    doc = "req long, source string, type string, data string"
+    new, status = S.insert(store, ask([(1, "shop", "group", '{"b":2, "a":1.0}'), (2, "shop", "group", '{"a":9}'), (3, "shop", "group", '{"a": 9}'), (4, "ab", "group", "{}"), (5, "shop", "what", "{}"), (6, "shop", "group", None), (7, "shop", "group", "{")], doc))
+    assert told(status) == {1: (200, 3), 2: (200, 5), 3: (200, 5), 4: (400, None), 5: (400, None), 6: (400, None), 7: (400, None)}
+    assert {r.id for r in new.collect()} == {3, 4, 5}
+    first = S.insert(store.where("false"), ask([(9, "shop", "group", "{}")], doc))[1]
+    assert told(first) == {9: (200, 2)}
+    change = "req long, source string, type string, id long, data string"
+    after, status = S.update(store, ask([(1, "shop", "group", 3, '{"a":5}'), (2, "shop", "group", 3, '{"a":6}'), (3, "shop", "group", 4, '{"a":6}'), (4, "shop", "main_session", 4, "{}"), (5, "shop", "group", 77, "{}"), (6, "shop", "group", 4, "no")], change))
+    assert told(status) == {1: (200, 3), 2: (200, 3), 3: (409, 4), 4: (404, 4), 5: (404, 77), 6: (400, 4)}
+    got = {r.id: (r.data, r.checksum) for r in after.collect()}
+    assert got[3][0] == '{"a":6}' and got[4][0] == '{"a":2}' and got[3][1] == after.select(S.checksum(F.lit('{"a":6.0}'))).first()[0]
+    at = "req long, source string, type string, id long"
+    left, status = S.remove(store, ask([(1, "shop", "group", 3), (2, "shop", "group", 3), (3, "else", "group", 4)], at))
+    assert told(status) == {1: (200, 3), 2: (404, 3), 3: (404, 4)} and [r.id for r in left.collect()] == [4]
+    assert told(S.find(store, ask([(1, "shop", "group", 3), (2, "shop", "group", None)], at))) == {1: (200, 3), 2: (404, None)}
+    assert [tuple(r) for r in S.lookup(store, ask([(1, "shop", "group", '{"b":2,"a":1}')], doc)).collect()] == [(1, 3)]
+    assert S.insert(store.where("false"), ask([], doc))[0].count() == 0 and S.update(store, ask([], change))[1].count() == 0
+
+
+def test_keys_go_at_every_depth(spark):
+    df = spark.createDataFrame([('{"id":1,"b":[{"id":2,"c":{"checksum":"x","d":null}}],"a":"t"}',), (None,), ("{",)], "j string")
+    assert [r[0] for r in df.select(S.strip_keys("j", ["id", "checksum"])).collect()] == ['{"a":"t","b":[{"c":{"d":null}}]}', None, None]
+
+
+def test_cells_must_fill_the_shape(spark):
+    with pytest.raises(PySparkException):
+        grid(spark, range(5), [2, 2]).collect()
+
+
+def replayed(first, calls):
+    """What the server has after the calls of a session trace, step by step."""
+    docs = {e.no: dict(id=e.id, text=e.text, remote=e.remote) for e in first}
+    for c in calls:
+        d = docs[c.target]
+        if c.op == "AddSession":
+            assert d["id"] is None
+            d["id"], d["remote"] = max([x["id"] or 0 for x in docs.values()] + [1]) + 1, d["text"]
+        elif c.op == "UpdateSession":
+            d["remote"] = d["text"]
+        elif c.op == "LocalEdit":
+            d["text"] = '{"title":"edit %d"}' % c.call_no
+        else:
+            assert d["id"] is not None
+            if c.op == "DeleteSession":
+                d.update(id=None, text=None, remote=None)
+    return {(d["id"], d["remote"]) for d in docs.values() if d["id"]}
+
+
+def test_session_traces(spark):
+    import ast
+
+    from tracelode.operators import simulate as M
+
+    traces, book = M.run(spark, 40, "session", 5)
+    final = {}
+    for r in M.final_documents(traces).collect():
+        final.setdefault(r.trace_id, set()).add((r.id, r.data))
+    for t in traces.collect():
+        assert replayed(t.first, t.calls) == final.get(t.trace_id, set())
+        assert sum(c.counted for c in t.calls) <= 5 and len({c.params for c in t.calls}) == len(t.calls)
+        for c in t.calls:
+            last = {"GetSession": {"GetSessions", "UpdateSession"}, "GetSessionByQuery": {"GetSessions"}, "LocalEdit": {"LocalEdit"}, "DeleteSession": {"AddSession"}}.get(c.op, set())
+            assert not last & set(c.srcs)
+    pairs = {}
+    for r in M.steps_of(traces).collect():
+        for s in set(r.srcs):
+            pairs[s, r.op] = pairs.get((s, r.op), 0) + 1
+    assert pairs == book and ("AddSession", "DeleteSession") not in book
+    assert all(ast.parse(r.init + "\n" + r.program) for r in M.programs(traces).collect())
+    small = M.run(spark, 5, "session", 1)[1]
+    grown = M.run(spark, 5, "session", 1, seed=4, known=small)[1]
+    assert M.run(spark, 5, "session", 1)[1] == small and sum(grown.values()) > sum(small.values())
+    both = M.programs(M.forked(traces, 3), F.lit("user_variable_3['title'] == 'x'"), 3).collect()
+    assert len(both) == 40 and all(ast.parse(r.program) and "else:" in r.program for r in both)
+
+
+def test_tensor_and_voice_traces(spark):
+    import ast
+
+    from tracelode.operators import simulate as M
+
+    for domain in ("tensor", "voice"):
+        traces, book = M.run(spark, 20, domain, 5)
+        for t in traces.collect():
+            assert len(t.calls) == 5 and all(x > 0 for e in t.entities for x in e["shape"] or []) and len({e.no for e in t.entities}) == len(t.entities)
+        assert all(ast.parse(r.init + "\n" + r.program) for r in M.programs(traces).collect()) and all(k[0] == "NONE" or k[0] in M_OPS[domain] for k in book)
+
+
+M_OPS = {"tensor": {"permute", "transpose", "split", "cat", "linear", "conv2d"}, "voice": {"search_voice_library", "text_to_speech", "speech_to_speech", "speech_to_text", "isolate_audio", "make_outbound_call"}}
+
+
+def test_random_inputs(spark):
+    values = spark.range(50).select(N.field_value(F.lit("title"), F.col("id"), F.lit("x")).alias("v")).distinct().count()
+    assert values == 50
+    d = spark.range(3).withColumn("v", N.field_value(F.lit("title"), F.col("id"), F.lit(None).cast("string")))
+    assert d.where(N.field_value(F.lit("title"), F.col("id"), F.col("v")) == F.col("v")).count() == 0
+    t = N.shaped_tensors(spark, 200).select(F.explode("values").alias("v")).agg(F.avg("v"), F.stddev("v")).first()
+    assert abs(t[0]) < 0.05 and abs(t[1] - 1) < 0.05
+    forms = {(r.name is not None, r.category is not None, r.gender is not None) for r in N.voice_terms(spark, 100).collect()}
+    assert len(forms) == 4 and N.paragraphs(spark, 0).count() == 0

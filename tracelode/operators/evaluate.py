@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +108,77 @@ def failure_cutoff(runs: DataFrame, group: str, order: list[str], failed: Column
     numbered = runs.withColumn("_island", island).withColumn("_no", F.row_number().over(w))
     run = F.sum(failed.cast("int")).over(Window.partitionBy(group, "_island").orderBy(*order))
     return numbered.withColumn("_run", run).groupBy(group).agg(F.min(F.when(F.col("_run") >= cap, F.col("_no"))).cast("bigint").alias("stopped_at"), F.count("*").alias("runs"))
+
+
+# Comparison of nested results. Values are JSON texts; what built-in functions can't compare at any depth goes through Arrow batches.
+
+
+def _same(a: Any, b: Any, eps: float, top: bool = True) -> bool:
+    number = lambda x: isinstance(x, int | float) and not isinstance(x, bool)
+    if number(a) and number(b):
+        return abs(a - b) <= eps
+    if top and isinstance(a, dict) and isinstance(b, dict):
+        # the keys of the candidate decide; a key that the oracle lacks is a difference
+        return all(k in b and _same(v, b[k], eps, False) for k, v in a.items())
+    return type(a) is type(b) and a == b
+
+
+def same_result(actual: Column, oracle: Column, eps: float, server_keys: tuple[str, ...] = ("id", "checksum")) -> Column:
+    """Whether a result equals its oracle: numbers within eps, objects by the keys of the result with numbers within eps, everything else if
+    equal; keys that the server adds don't count at any depth. Null equals null only; text that is no JSON is compared as text."""
+    gone = frozenset(server_keys)
+
+    def strip(v: Any) -> Any:
+        if isinstance(v, dict):
+            return {k: strip(x) for k, x in v.items() if k not in gone}
+        return [strip(x) for x in v] if isinstance(v, list) else v
+
+    def read(t: str) -> Any:
+        try:
+            return strip(json.loads(t))
+        except ValueError:
+            return t
+
+    @F.pandas_udf("boolean")
+    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([x is None and y is None if x is None or y is None else _same(read(x), read(y), eps) for x, y in zip(a, b)], dtype=bool)
+
+    return compare(actual, oracle)
+
+
+def same_state(actual: DataFrame, oracle: DataFrame, case: str, key: list[str], data: str) -> DataFrame:
+    """(case, state_pass, detail): whether each case's documents equal those of its oracle by key, in any order, JSON compared by
+    canonical text. Only keys that the oracle has are looked at, as a key without documents has no entry; detail names the first
+    key that differs."""
+    asked = oracle.select(case, *key).distinct()
+    canonical = F.coalesce(F.to_json(F.try_parse_json(data)), F.col(data))
+    side = lambda df: df.select(case, *key, canonical.alias("_d"))
+    per_key = multiset_equal(side(actual.join(asked, [case, *key], "left_semi")), side(oracle), [case, *key], ["_d"])
+    named = F.when(~F.col("equal"), F.concat_ws("||", *key))
+    return per_key.groupBy(case).agg(F.bool_and("equal").alias("state_pass"), F.min(named).alias("detail"))
+
+
+def call_log_verdict(actual: DataFrame, expected: DataFrame, case: str, columns: list[str]) -> DataFrame:
+    """(case, ok, message): unordered comparison of call logs, the numbers of calls first. Messages: more calls, fewer calls, a call that
+    is missing, calls that differ."""
+    n = lambda df, name: df.groupBy(case).agg(F.count("*").alias(name))
+    sizes = n(actual, "_a").join(n(expected, "_b"), case, "full_outer").select(case, F.coalesce("_a", F.lit(0)).alias("_a"), F.coalesce("_b", F.lit(0)).alias("_b"))
+    diff = multiset_equal(actual, expected, [case], columns)
+    met = sizes.join(diff, case)
+    message = (
+        F.when(F.col("_a") > F.col("_b"), F.concat(F.lit("more calls than expected: "), "_a", F.lit(" of "), "_b"))
+        .when(F.col("_a") < F.col("_b"), F.concat(F.lit("fewer calls than expected: "), "_a", F.lit(" of "), "_b"))
+        .when(F.col("missing") == 1, "an expected call is missing")
+        .when(F.col("missing") > 1, F.concat("missing", F.lit(" calls differ")))
+    )
+    return met.select(case, message.isNull().alias("ok"), message.alias("message"))
+
+
+def reference_program(cases: DataFrame, key: str) -> DataFrame:
+    """(key, program) of the first case of each evaluator."""
+    return cases.groupBy(key).agg(F.min_by("program", "case_no").alias("program"))
+
+
+def summarised(shape: Column, dtype: Column, value: Column) -> Column:
+    """A value in short: shape and type of a tensor, the text of anything else."""
+    return F.when(shape.isNotNull(), F.concat(F.lit("tensor(shape=["), F.array_join(F.transform(shape, lambda x: x.cast("string")), ", "), F.lit("], dtype="), dtype, F.lit(")"))).otherwise(value)

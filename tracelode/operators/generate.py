@@ -1,24 +1,18 @@
-"""Coverage-guided generation of call sequences, batch-synchronous: every trace takes its next step against the same book,
-which is then brought up to date by one aggregation. The driver loop runs over steps, never over traces."""
+"""Random documents, field values, tensors and spoken texts, the same for the same seed; traces of calls are made in simulate."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode import runtime
-from tracelode.operators import book as B
 from tracelode.operators.docstore import TYPES
+from tracelode.operators.speech import VOICES
 
-# Operations by domain, with the variables each needs, and the fields of random documents.
-OPERATIONS = {
-    "session": ["AddSession", "GetSession", "GetSessions", "GetSessionByQuery", "UpdateSession", "DeleteSession", "LocalEdit"],
-    "tensor": ["permute", "transpose", "split", "cat", "linear", "conv2d"],
-    "voice": ["search_voice_library", "text_to_speech", "speech_to_speech", "speech_to_text", "isolate_audio", "make_outbound_call"],
-}
-QUERIES_ = ["GetSession", "GetSessions", "GetSessionByQuery"]
+# Sources of random documents, and their fields in the order that renders them.
 SOURCES = ["portal_a", "portal_b", "portal_c", "portal_d", "portal_e"]
-FIELDS = ["title", "description", "similarities", "significantDifferences", "members"]
+FIELDS = ["title", "description", "significantDifferences", "similarities", "members"]
 
 
 def documents(spark: SparkSession, n: int, fields: int = 3, seed: int = 0) -> DataFrame:
@@ -43,35 +37,39 @@ def tensors(spark: SparkSession, n: int, shape: tuple[int, ...] = (2, 2, 4, 4),
     return flat.select("tensor_id", F.array(*idx).alias("idx"), "val")
 
 
-def allowed(last: str = "last", used: str = "used", op: str = "op") -> F.Column:
-    """Rules for the next operation: no operation with equal parameters again, no query after a query, nothing after a
-    deletion but an addition, no deletion right after an addition."""
-    queries = [F.lit(q) for q in QUERIES_]
-    is_query = F.col(op).isin(*queries)
-    return (
-        ~F.array_contains(used, F.concat(F.col(op), F.lit("#"), F.col("target").cast("string")))
-        & ~(is_query & F.col(last).isin(*queries))
-        & ~((F.col(last) == "DeleteSession") & (F.col(op) != "AddSession"))
-        & ~((F.col(last) == "AddSession") & (F.col(op) == "DeleteSession"))
-    )
-
-
-def traces(spark: SparkSession, n: int, steps: int = 5, domain: str = "session", variables: int = 3, seed: int = 0, book: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(steps, book): n traces of up to `steps` calls. Each step takes, among the allowed candidates (operation, target), one
-    with probability in proportion to the square of its number of uncovered pairs, else to 1 / (least count + 1e-7)."""
-    book = book or spark.createDataFrame([], B.BOOK)
-    ops = F.explode(F.array(*[F.lit(o) for o in OPERATIONS[domain]]))
-    targets = F.explode(F.sequence(F.lit(0), F.lit(variables - 1)))
-    state = spark.range(n).select(F.col("id").alias("trace_id"), F.lit(B.FIRST).alias("last"), F.array().cast("array<string>").alias("used"))
-    out: DataFrame | None = None
-    for k in range(steps):
-        c = state.withColumn("op", ops).withColumn("target", targets).where(allowed())
-        counts = book.select(F.col("src").alias("last"), F.col("dst").alias("op"), "occ")
-        c = c.join(counts, ["last", "op"], "left").withColumn("occ", F.coalesce("occ", F.lit(0)))
-        weight = F.when(F.col("occ") == 0, F.lit(1e9)).otherwise(1 / (F.col("occ") + 1e-7))
-        chosen = runtime.cut(B.weighted_pick(c, ["trace_id"], ["trace_id", "op", "target"], weight, seed * 1000 + k).select("trace_id", F.lit(k).alias("call_no"), F.col("last").alias("src"), "op", "target", "used"))
-        step = chosen.drop("used")
-        out = step if out is None else out.unionByName(step)
-        book = runtime.cut(B.record(book, chosen.select("src", F.col("op").alias("dst"))))
-        state = chosen.select("trace_id", F.col("op").alias("last"), F.array_append("used", F.concat("op", F.lit("#"), F.col("target").cast("string"))).alias("used"))
-    return out, book
+def field_value(field: Column, no: Column, exclude: Column, seed: int = 0) -> Column:
+    """A random value of a document's field that isn't exclude."""
+    value = lambda k: F.concat(field, F.lit(" "), F.substring(F.md5(F.concat_ws("|", field, no.cast("string"), F.lit(seed), F.lit(k))), 1, 8))
+    return F.when(value(0).eqNullSafe(exclude), value(1)).otherwise(value(0))
+
+
+def shaped_tensors(spark: SparkSession, n: int, low: int = 1, high: int = 4, seed: int = 0) -> DataFrame:
+    """(tensor_id, shape, values): n dense tensors of four dimensions from low to high, the last two equal and even."""
+    size = lambda tag: (F.pmod(F.xxhash64("id", F.lit(f"{tag}{seed}")), F.lit(high - low + 1)) + low).cast("int")
+    shape = F.array(size("a"), size("b"), size("c") * 2, size("c") * 2)
+    base = spark.range(n).select(F.col("id").alias("tensor_id"), shape.alias("shape"))
+    cells = F.aggregate("shape", F.lit(1), lambda a, x: a * x)
+    # normal values by Box and Muller from hashes, so that a cell depends on its place alone
+    unit = lambda i, tag: (F.pmod(F.xxhash64("tensor_id", i, F.lit(f"{tag}{seed}")), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    normal = lambda i: F.sqrt(-2 * F.log(unit(i, "u"))) * F.cos(2 * math.pi * unit(i, "v"))
+    return base.withColumn("values", F.transform(F.sequence(F.lit(0), cells - 1), normal))
+
+
+# Words of random paragraphs.
+WORDS = "the a call voice session value record trace tensor field query answer number list user server group study view note step plan copy draft report window signal market river garden engine letter".split()
+
+
+def paragraphs(spark: SparkSession, n: int, sentences: int = 3, seed: int = 0) -> DataFrame:
+    """(id, text): random paragraphs of so many sentences of five to nine words."""
+    word = lambda s, w: F.element_at(F.array(*[F.lit(x) for x in WORDS]), (F.pmod(F.xxhash64("id", s, w, F.lit(seed)), F.lit(len(WORDS))) + 1).cast("int"))
+    length = lambda s: (F.pmod(F.xxhash64("id", s, F.lit(f"n{seed}")), F.lit(5)) + 5).cast("int")
+    sentence = lambda s: F.concat(F.initcap(word(s, F.lit(0))), F.lit(" "), F.array_join(F.transform(F.sequence(F.lit(1), length(s) - 1), lambda w: word(s, w)), " "), F.lit("."))
+    return spark.range(n).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(sentences)), sentence), " ").alias("text"))
+
+
+def voice_terms(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """(id, name, category, gender): search terms of four forms, each as likely: a name, a category, a gender, both of these."""
+    form = F.pmod(F.xxhash64("id", F.lit(f"form{seed}")), F.lit(4))
+    voice = F.element_at(F.array(*[F.struct(F.lit(v[0]).alias("n"), F.lit(v[2]).alias("c"), F.lit(v[3]).alias("g")) for v in VOICES]), (F.pmod(F.xxhash64("id", F.lit(f"voice{seed}")), F.lit(len(VOICES))) + 1).cast("int"))
+    base = spark.range(n).select("id", form.alias("f"), voice.alias("v"))
+    return base.select("id", F.when(F.col("f") == 0, F.col("v.n")).alias("name"), F.when(F.col("f").isin(1, 3), F.col("v.c")).alias("category"), F.when(F.col("f").isin(2, 3), F.col("v.g")).alias("gender"))

@@ -203,3 +203,32 @@ def error_summary(message: Column, code: Column, line_no: Column) -> Column:
     return F.struct(
         F.element_at(F.split(message, ":"), 1).alias("error_type"), F.trim(F.substring_index(message, ":", -1)).alias("message"), line_no.alias("line_no"), F.try_element_at(F.split(code, "\n"), line_no.cast("int")).alias("line_text")
     )
+
+
+def path_text(root: Column, keys: Column) -> Column:
+    """A nested path as a program writes it: `x["a"][0]`; keys of digits only are indices."""
+    one = lambda k: F.when(k.rlike(r"^\d+$"), F.concat(F.lit("["), k, F.lit("]"))).otherwise(F.concat(F.lit('["'), k, F.lit('"]')))
+    return F.concat(root, F.array_join(F.transform(keys, one), ""))
+
+
+def matches(name: Column, params: Column, wanted_name: str, wanted: dict[str, str]) -> Column:
+    """Whether a call has a name and every given parameter with its value; others don't matter."""
+    hit = name == wanted_name
+    for k, v in wanted.items():
+        hit = hit & F.coalesce(F.try_element_at(params, F.lit(k)) == v, F.lit(False))
+    return F.coalesce(hit, F.lit(False))
+
+
+def compact_schema(schema: object) -> object:
+    """A JSON schema without titles, defaults and examples, at every depth; properties of these names stay."""
+    if isinstance(schema, list):
+        return [compact_schema(x) for x in schema]
+    if not isinstance(schema, dict):
+        return schema
+    out = {}
+    for k, v in schema.items():
+        if k == "properties" and isinstance(v, dict):
+            out[k] = {name: compact_schema(x) for name, x in v.items()}
+        elif k not in ("title", "default", "examples"):
+            out[k] = compact_schema(v)
+    return out

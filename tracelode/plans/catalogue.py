@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelode.operators import nested
-from tracelode.plans import book_queries, data_queries, program_queries, registry, service_queries, store_queries, tensor_queries, text_queries  # noqa: F401
+from tracelode.plans import book_queries, data_queries, program_queries, registry, service_queries, store_queries, tensor_queries, text_queries, verdict_queries  # noqa: F401
 from tracelode.runtime import table
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelode.operators import dataflow as D
 from tracelode.operators import generate as N
 from tracelode.operators import pipeline as L
+from tracelode.operators import simulate as S
 from tracelode.plans.registry import query
 
 
@@ -45,13 +46,45 @@ def q_ast_calls(code_messages):
     return D.calls_per_function(D.facts(one, "request_id", "code"), "request_id").groupBy("func").agg(F.sum("calls").alias("calls"), F.sum("gated").alias("gated"))
 
 
+def _traces(evaluators, task):
+    n = evaluators.where(F.col("task") == task).count()
+    return S.run(evaluators.sparkSession, n, task, 5)
+
+
+def _invariants(evaluators, task):
+    traces, book = _traces(evaluators, task)
+    steps = S.steps_of(traces)
+    per = steps.groupBy("trace_id").agg(F.count_if("counted").alias("calls"), F.countDistinct("params").alias("different"), F.count("*").alias("all"))
+    return per.select("trace_id", "calls", (F.col("different") == F.col("all")).alias("no_repeats"), F.lit(len(book)).alias("pairs"))
+
+
+@query("evaluators")
+def q_session_traces(evaluators):
+    """As many generated traces as there are session cases, with invariants of each."""
+    return _invariants(evaluators, "session")
+
+
+@query("evaluators")
+def q_tensor_traces(evaluators):
+    return _invariants(evaluators, "tensor")
+
+
 @query("evaluators")
-def q_generate_traces(evaluators):
-    """As many generated traces as there are session cases, with the invariants of each."""
-    n = evaluators.where("task = 'session'").count()
-    steps, _ = N.traces(evaluators.sparkSession, n, 5)
-    per = steps.groupBy("trace_id").agg(F.count("*").alias("calls"), F.countDistinct(F.struct("op", "target")).alias("distinct_calls"), F.min("call_no").alias("first_call"))
-    return per.select("trace_id", "calls", (F.col("calls") == F.col("distinct_calls")).alias("no_repeats"), (F.col("first_call") == 0).alias("starts_at_0"))
+def q_voice_traces(evaluators):
+    return _invariants(evaluators, "voice")
+
+
+@query("evaluators")
+def q_trace_documents(evaluators):
+    """What the server has after each trace."""
+    return S.final_documents(_traces(evaluators, "session")[0])
+
+
+@query("evaluators")
+def q_trace_programs(evaluators):
+    """The traces of all domains as programs."""
+    one = [S.programs(_traces(evaluators, t)[0]).select(F.lit(t).alias("task"), "*") for t in S.DOMAINS]
+    return one[0].unionByName(one[1]).unionByName(one[2])
 
 
 @query("evaluators")
@@ -83,3 +116,13 @@ def q_reversed_skip(code_messages):
     constant = F.nullif(F.regexp_extract("code", r"(?m)^if .+ > (\d+):$", 1), F.lit(""))
     reason = L.reversed_skip(F.col("code"), constant, (constant.try_cast("bigint") + 1).cast("string"), F.contains("code", F.concat(constant, F.lit(":"))))
     return code_messages.select("request_id", "item_id", reason.alias("skip_reason"))
+
+
+@query("evaluators")
+def q_random_inputs(evaluators):
+    """Random paragraphs, search terms and tensors, as many as there are cases, by what they must fulfil."""
+    n, spark = evaluators.count(), evaluators.sparkSession
+    texts = N.paragraphs(spark, n).select(F.lit("paragraph").alias("kind"), (F.size(F.split("text", r"\\. ")) == 3).alias("ok"))
+    terms = N.voice_terms(spark, n).select(F.lit("term"), F.coalesce("name", "category", "gender").isNotNull())
+    tensors = N.shaped_tensors(spark, n).select(F.lit("tensor"), (F.size("values") == F.aggregate("shape", F.lit(1), lambda a, x: a * x)) & (F.element_at("shape", -1) % 2 == 0))
+    return texts.union(terms).union(tensors).groupBy("kind").agg(F.count("*").alias("n"), F.bool_and("ok").alias("ok"))

@@ -3,6 +3,7 @@ apart, never dropped in silence."""
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.operators import book as B
+from tracelode.operators import nested
 
 EVALUATOR = r"evaluator_(\d+)\.json$"
 SPEECH = "is_speech boolean, text string, voice_name string, stability double, similarity_boost double, style double, duration double, transitions array<struct<name:string,params:map<string,string>>>"
@@ -102,18 +104,29 @@ def resume(spark: SparkSession, path: str) -> DataFrame:
 
 def tensors(df: DataFrame, column: str) -> DataFrame:
     """Adds shape, dtype and values (array<double>) of tensors in their wire form, little-endian float or int of 4 or 8
-    bytes; nested lists are read as well."""
+    bytes; nested lists are read as well, with the shape of their nesting where it is even."""
     @F.pandas_udf("array<double>")
     def decode(data: pd.Series, dtype: pd.Series) -> pd.Series:
         return pd.Series([None if d is None else np.frombuffer(bytes(d), np.dtype(t)).astype(float).tolist() for d, t in zip(data, dtype)])
 
+    @F.pandas_udf("array<int>")
+    def nesting(texts: pd.Series) -> pd.Series:
+        def shape(t: str | None) -> list[int] | None:
+            try:
+                return None if t is None else list(np.array(json.loads(t), float).shape)
+            except (ValueError, TypeError):
+                return None
+
+        return pd.Series([shape(t) for t in texts], dtype=object)
+
     t = F.from_json(column, TENSOR)
     parsed = df.withColumn("_t", t).withColumn("_raw", F.try_to_binary(F.col("_t.data_b64"), F.lit("base64")))
     fits = F.length("_raw") % F.substring("_t.dtype", -1, 1).try_cast("int") == 0
     dense = F.when(fits, F.col("_raw"))
     legacy = F.transform(F.regexp_extract_all(F.col(column), F.lit(r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"), 0), lambda x: x.cast("double"))
-    values = F.when(F.startswith(F.trim(F.col(column)), F.lit("[")), legacy).otherwise(decode(dense, F.coalesce("_t.dtype", F.lit("<f8"))))
-    return parsed.withColumns({"shape": F.col("_t.shape"), "dtype": F.col("_t.dtype"), "values": values}).drop("_t", "_raw")
+    listed = F.startswith(F.trim(F.col(column)), F.lit("["))
+    values = F.when(listed, legacy).otherwise(decode(dense, F.coalesce("_t.dtype", F.lit("<f8"))))
+    return parsed.withColumns({"shape": F.coalesce("_t.shape", nesting(F.when(listed, F.col(column)))), "dtype": F.col("_t.dtype"), "values": values}).drop("_t", "_raw")
 
 
 def speeches(df: DataFrame, column: str) -> DataFrame:
@@ -122,6 +135,12 @@ def speeches(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("speech", F.when(s["is_speech"], s))
 
 
+def nested_speeches(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(record_id, node_path, speech) of the speeches at any depth of a JSON column, whose key is a number."""
+    nodes = nested.json_nodes(df, key, column, "speeches").withColumnRenamed("node", "_speech")
+    return speeches(nodes, "_speech").where("speech is not null").select("record_id", "node_path", "speech")
+
+
 def batch_responses(spark: SparkSession, path: str) -> DataFrame:
     """(custom_id, body) of a batch's output lines."""
     rows = jsonl(spark, path, "custom_id string, response struct<body:string>")
