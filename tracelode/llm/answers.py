@@ -65,7 +65,7 @@ def break_mark(text: str) -> str:
 
 
 def visible(text: str) -> str:
-    return text.translate(INVISIBLE).strip()
+    return (text if text.isascii() else text.translate(INVISIBLE)).strip()
 
 
 def blocks(text: str) -> tuple[list[tuple[bool, str]], bool]:

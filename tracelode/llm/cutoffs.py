@@ -51,15 +51,12 @@ def segments(parts: list[tuple[bool, str]]) -> list[tuple[bool, str]]:
     return out
 
 
-def item_hash(token: str, keep: dict) -> int:
-    """Hash of a word whose lowest bit tells a capital; one code for all numbers."""
-    h = keep.get(token)
-    if h is None:
-        if len(keep) > 300_000:
-            keep.clear()
-        h = int(NUMBER) if token[0].isdigit() else (xxhash.xxh3_64_intdigest(token) & 0x7FFFFFFFFFFFFFE0) | 32 | token[0].isupper()
-        keep[token] = h
-    return h
+class Items(dict):
+    """Hashes of words whose lowest bit tells a capital; one code for all numbers."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = h = int(NUMBER) if token[0].isdigit() else (xxhash.xxh3_64_intdigest(token) & 0x7FFFFFFFFFFFFFE0) | 32 | token[0].isupper()
+        return h
 
 
 def unclosed(code: str) -> bool:
@@ -91,8 +88,10 @@ def verdict(text: str, parts: list[tuple[bool, str]], is_open: bool, last: tuple
 
 def _parse():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes: dict[str, int] = {}
+        hashes = Items()
         for b in batches:
+            if len(hashes) > 300_000:
+                hashes.clear()
             rows = []
             for mid, rid, source, body, limit, is_last in zip(b["message_id"], b["request_id"], b["source"], b["body"], b["max_tokens"], b["is_last"]):
                 a = answers.answer(body)
@@ -111,7 +110,7 @@ def _parse():
                 items, ends = [], []
                 for code, s in found:
                     s = answers.STRING.sub(" Sss ", s) if code else s.rstrip("�").removesuffix(answers.break_mark(s.rstrip("�"))).rstrip("….!?。！？\"')] ")
-                    items.extend(item_hash(t, hashes) for t in answers.TOKEN.findall(s))
+                    items.extend(map(hashes.__getitem__, answers.TOKEN.findall(s)))
                     if items and (not ends or ends[-1] != len(items)):
                         ends.append(len(items))
                 row[10], row[11] = items, ends
