@@ -339,6 +339,8 @@ def run(spark: SparkSession, n: int, domain: str = "session", calls: int = 5, se
             break
         for r in new:
             known[r["src"], r["dst"]] = known.get((r["src"], r["dst"]), 0) + r["occ"]
+        if no + 1 >= calls and state.where("left > 0").isEmpty():
+            break
     return state, known
 
 
