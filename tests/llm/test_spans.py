@@ -57,6 +57,41 @@ def test_clusters(spark, rows):
     assert rows(S.removal_clusters(make(spark, []))) == []
 
 
+def brute_clusters(texts, width):
+    owners, label = {}, {}
+    for i, t in texts:
+        for k in range(len(t) - width + 1):
+            owners.setdefault(t[k : k + width], set()).add(i)
+    for shared in (o for o in owners.values() if len(o) > 1):
+        met = {label.setdefault(i, i) for i in shared}
+        label = {i: min(met) if x in met else x for i, x in label.items()}
+    free = dict.fromkeys(label, 0)
+    for i, t in set(texts):
+        mask = np.zeros(len(t), bool)
+        for k in range(len(t) - width + 1):
+            if min(owners[t[k : k + width]]) < i:
+                mask[k : k + width] = True
+        if i in free:
+            free[i] += int(mask.sum())
+    return {(i, x, free[i]) for i, x in label.items()}
+
+
+def test_clusters_of_copied_programs_against_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdé𝄞\n ") for _ in range(n))
+    pool, ids, texts = [word(rng.randrange(60, 100)) for _ in range(14)], rng.sample(range(100), 60), []
+    for k in range(20):  # one to three programs have the same text, which shares one or two stretches with other texts
+        t = word(rng.randrange(40)) + "".join(rng.sample(pool, 1 + k % 2)) + word(rng.randrange(40))
+        texts += [(ids.pop(), t) for _ in range(rng.randrange(1, 4))]
+    a, b, c = (chr(200) + "".join(chr(x + i) for i in range(79)) for x in (300, 400, 500))
+    texts += [(i + 100, t) for i, t in enumerate([a + b, a + b, c + a, c + a])]  # both texts twice, one stretch in common
+    want = brute_clusters(texts, 60)
+    assert {(101, 100, 160), (102, 100, 80), (103, 100, 160)} <= want
+    for tile in (1, 3, 10_000):
+        monkeypatch.setattr(S, "TILE", tile)
+        assert {tuple(r) for r in S.removal_clusters(make(spark, texts), width=60, gram=16).collect()} == want
+
+
 def test_one_program_repeating_itself_shares_nothing(spark, rows):
     t = "".join(map(str, range(200)))
     assert rows(S.shared_spans(make(spark, [(1, t + t), (1, t + t), (2, "other")]))) == []

@@ -175,9 +175,9 @@ def _compare(width: int):
                 least = np.minimum.reduceat(lo[which[order]], starts)[group]
                 most = np.maximum.reduceat(hi[which[order]], starts)[group]
                 own = lo[which[order]]
-                # a context that several records have is known to be shared already
+                # what a context's records share with its least one is known already
                 keep = np.zeros(len(s), bool)
-                keep[order] = (least < most) & (own == hi[which[order]])
+                keep[order] = (least < own) | ((own < most) & (own == hi[which[order]]))
                 peer = np.empty(len(s), np.int64)
                 peer[order] = np.where(least == own, most, least)
                 if keep.any():
@@ -196,15 +196,16 @@ def _spread(width: int):
                 part = b.iloc[i : i + TILE].reset_index(drop=True)
                 which, s, h1, h2 = _paragraphs(part, width)
                 one = pd.DataFrame({k: part[k].to_numpy()[which] for k in ("band", "h1", "h2")} | {"s": s, "p1": h1.view(np.int64), "p2": h2.view(np.int64), "single": (part["lo"] == part["hi"]).to_numpy()[which]})
-                yield one.assign(owner=part["lo"].to_numpy()[which])
-                yield one.assign(owner=part["hi"].to_numpy()[which])[~one["single"]]
+                yield one.assign(owner=part["lo"].to_numpy()[which], first=True)
+                yield one.assign(owner=part["hi"].to_numpy()[which], first=False)[~one["single"]]
 
     return run
 
 
 def verified(df: DataFrame, id_col: str, text_col: str, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(owner, doc, lo, hi, peer): stretches of texts that stand verbatim in the text of peer, the least such record, or the
-    greatest where owner is the least itself. Their union is all that is shared."""
+    greatest where owner is the least itself. Their union is all that is shared, also with smaller records alone, and the links
+    from owner to peer have the components of all links."""
     texts = df.select(F.col(id_col).cast("bigint").alias("owner"), F.col(text_col).alias("text")).where(F.col("owner").isNotNull() & (F.length("text") >= width))
     texts = texts.withColumn("doc", F.xxhash64("owner", "text"))
     anchors = texts.mapInPandas(_anchors(width, gram), "band bigint, h1 bigint, h2 bigint, owner bigint, doc bigint, at bigint, before short, after short")
@@ -216,14 +217,14 @@ def verified(df: DataFrame, id_col: str, text_col: str, width: int = WIDTH, gram
     # different contexts of one band, each once
     contexts = colliding.groupBy(*key).agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.min(F.struct("owner", "doc", "at", "before", "after")).alias("one"))
     contexts = runtime.cut(contexts.select(*key, "lo", "hi", "one.*"))
-    several = contexts.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("lo") == F.col("hi")).alias("single")).where("n > 1 and single > 0").select("band", (F.col("n") > TILE).alias("large"))
+    several = contexts.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", (F.col("n") > TILE).alias("large"))
     around = runtime.join_salted(contexts, several, ["band"], "inner").groupBy("owner", "doc").agg(F.collect_list(F.struct(*key, "lo", "hi", "at", "before", "after", "large")).alias("around"))
     schema = "band bigint, h1 bigint, h2 bigint, lo bigint, hi bigint, before short, large boolean, text string"
     around = runtime.cut(texts.join(around, ["owner", "doc"]).select("text", "around").mapInPandas(_contexts, schema))
     parts = "band bigint, h1 bigint, h2 bigint, lo bigint, hi bigint, peer bigint"
     near = around.where("not large").repartition("band").sortWithinPartitions("band").mapInPandas(_compare(width), parts)
-    spread = around.where("large").mapInPandas(_spread(width), "band bigint, h1 bigint, h2 bigint, s bigint, p1 bigint, p2 bigint, single boolean, owner bigint")
-    far = runtime.with_shared_key(spread, ["p1", "p2"], "owner", ends=True).where("single").select(*key, F.col("s").alias("lo"), (F.col("s") + width).alias("hi"), peer)
+    spread = around.where("large").mapInPandas(_spread(width), "band bigint, h1 bigint, h2 bigint, s bigint, p1 bigint, p2 bigint, single boolean, owner bigint, first boolean")
+    far = runtime.with_shared_key(spread, ["p1", "p2"], "owner", ends=True).where("first and (single or _lo < owner)").select(*key, F.col("s").alias("lo"), (F.col("s") + width).alias("hi"), peer)
     found = near.unionByName(far).groupBy(*key).agg(F.collect_set(F.struct("lo", "hi", "peer")).alias("parts"))
     met = runtime.join_salted(colliding.select(*key, "owner", "doc", "at"), found, key, "inner").select("owner", "doc", "at", F.explode("parts").alias("p"))
     return whole.unionByName(met.select("owner", "doc", (F.col("at") + F.col("p.lo")).alias("lo"), (F.col("at") + F.col("p.hi")).alias("hi"), F.col("p.peer").alias("peer")))
